@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -13,6 +14,19 @@ def _vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .boosting import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    back = read_warc(write_warc(table(spark, sf_dir, "pages")))
+    return back.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -20,6 +34,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_boosted_quality": op6_boosted_quality,
+    "op7_warc_dictionary": op7_warc_dictionary,
     "op10_token_counts": op10_token_counts,
 }
 
