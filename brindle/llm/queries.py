@@ -27,6 +27,14 @@ def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import materialize
+    from .token_files import read_tokens, tokenize, write_tokens
+
+    tokens = materialize(tokenize(table(spark, sf_dir, "documents"), _vocab("word_bpe_49k.json"), end_id=2), "token-ids")
+    return read_tokens(write_tokens(tokens)).withColumnRenamed("id", "doc_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -36,6 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op6_boosted_quality": op6_boosted_quality,
     "op7_warc_dictionary": op7_warc_dictionary,
+    "op8_token_files": op8_token_files,
     "op10_token_counts": op10_token_counts,
 }
 
