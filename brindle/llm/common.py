@@ -75,7 +75,7 @@ def _clean() -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of what ``df`` reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shuffle_partitions(df: DataFrame, factor: float, target: int = 48 << 20) -> int:
