@@ -14,6 +14,19 @@ def _vocab(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    out = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken
+
+    return taken(table(spark, sf_dir, "documents"))
+
+
 def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .boosting import quality_scores
 
@@ -42,6 +55,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op6_boosted_quality": op6_boosted_quality,
     "op7_warc_dictionary": op7_warc_dictionary,
     "op8_token_files": op8_token_files,
