@@ -176,7 +176,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = WORD) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def chunks(column: pa.Array, most: int = 4 << 20):
+def chunks(column: pa.Array, most: int = 2 << 20):
     """(first row, data, offsets) of consecutive rows with about ``most`` bytes of text; a longer text is a chunk of its own."""
     data, offsets = utf8(column)
     a, n = 0, len(offsets) - 1
@@ -207,3 +207,37 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[d]:first[d+1]] for each row d."""
     sums = np.concatenate([[0], np.cumsum(values)])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def trim() -> None:
+    """Give memory that this worker no longer needs back to the system; workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+class Sorted:
+    """A map from uint64 keys to small integers, as two sorted arrays: a sixth of a dict's memory."""
+
+    def __init__(self) -> None:
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, -1 if unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Take in keys that are sorted and not yet known."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)

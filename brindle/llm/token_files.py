@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, lower_ascii, materialize, new_path, ranges, ready, shuffle_partitions, span_hash
+from .common import Sorted, chunks, lower_ascii, materialize, new_path, ranges, ready, shuffle_partitions, span_hash, trim
 
 MAGIC = b"BRHF1\0\0\0"
 CHECKPOINT, BLOCK = 256, 1 << 16
@@ -75,7 +75,7 @@ class Encoder:
     text goes through the library whole.
     """
 
-    MAX_PIECES = 1_500_000
+    MAX_PIECES = 500_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,14 +92,14 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Sorted()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, hashes: list[int], pieces: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
         tokens: list[list[int]] = [[] for _ in pieces]
         plain = [k for k, p in enumerate(pieces) if p.isascii() and p.isalpha()]
         model = self.tokenizer.model.tokenize
@@ -121,11 +121,11 @@ class Encoder:
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = [x for t in tokens for x in t]
+        self.flat[self.used : self.used + total] = np.fromiter((x for t in tokens for x in t), np.uint32, total)
         self.start[first : first + len(pieces)] = self.used + np.cumsum(lengths) - lengths
         self.length[first : first + len(pieces)] = lengths
         self.used += total
-        self.known.update(zip(hashes, range(first, first + len(pieces))))
+        self.known.add(hashes, np.arange(first, first + len(pieces)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): text d has ids[first[d]:first[d+1]]."""
@@ -144,13 +144,12 @@ class Encoder:
         found, at, where = np.unique(span_hash(low, starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > self.MAX_PIECES:
             self.forget()
-        names = found.tolist()
-        new = [k for k, h in enumerate(names) if h not in self.known]
-        if new:
+        new = np.flatnonzero(self.known.get(found) < 0)
+        if len(new):
             raw = low.tobytes()
-            self._add([names[k] for k in new], [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
-        slot = np.fromiter((self.known[h] for h in names), np.int64, len(names))[where] if names else np.zeros(0, np.int64)
-        each = self.length[slot]
+            self._add(found[new], [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+        slot = self.known.get(found)[where]
+        each = self.length[slot].astype(np.int64)
         ids = self.flat[ranges(self.start[slot], each)]
         first = np.concatenate([[0], np.cumsum(each)])[np.searchsorted(starts, offsets)]
         if odd:
@@ -171,6 +170,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _drop_encoders() -> None:
+    if _encoders:
+        _encoders.clear()
+        trim()
+
+
 def tokenize(docs: DataFrame, vocab: str, end_id: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, ids): the text's token ids and the end id, as little-endian uint32 bytes."""
     ready(docs.sparkSession)
@@ -306,6 +311,7 @@ def token_counts_of(tokens: DataFrame) -> DataFrame:
     """(token, count) over all documents, summed within each task first; as many rows as the vocabulary has entries."""
 
     def run(batches):
+        _drop_encoders()
         totals = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
@@ -337,6 +343,7 @@ def write_tokens(tokens: DataFrame, root: str | None = None, max_bits: int = 16,
     rows = tokens.repartitionByRange(parts, "id").sortWithinPartitions("id", "ids")
 
     def run(batches):
+        _drop_encoders()
         task = TaskContext.get()
         code = _code(header)
         name, fs_top = f"part-{task.partitionId():06d}.tok", _fs(root)
