@@ -241,3 +241,33 @@ class Sorted:
         """Take in keys that are sorted and not yet known."""
         at = np.searchsorted(self.keys, keys)
         self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
+
+
+# Packed shuffles: one row per bucket and batch instead of one per entry ------
+
+
+def scatter(bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Rows (bucket, one binary column for each array): the arrays' entries, dealt by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    heads = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    bounds = np.append(heads, len(b)).astype(np.int64)
+    cols = [pa.array(b[heads].astype(np.int32))]
+    for v in arrays.values():
+        data = np.ascontiguousarray(v[order])
+        size = data.dtype.itemsize
+        cols.append(pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer((bounds * size).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]))
+    return pa.RecordBatch.from_arrays(cols, ["bucket", *arrays])
+
+
+def scattered(names: list[str]) -> str:
+    return "bucket int, " + ", ".join(f"{n} binary" for n in names)
+
+
+def gather(batches, kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    """All entries that reached this partition, as one array for each column."""
+    parts: dict[str, list[np.ndarray]] = {n: [] for n in kinds}
+    for batch in batches:
+        for n, kind in kinds.items():
+            parts[n].append(np.frombuffer(utf8(batch.column(n))[0].tobytes(), kind))
+    return {n: np.concatenate(p) if p else np.zeros(0, kinds[n]) for n, p in parts.items()}

@@ -27,6 +27,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 
 
+def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find
 
@@ -64,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_ppm_scores": op3_ppm_scores,
     "op4_suffix_decontamination": op4_suffix_decontamination,
     "op6_boosted_quality": op6_boosted_quality,
     "op7_warc_dictionary": op7_warc_dictionary,
