@@ -149,7 +149,8 @@ def mix(sizes: DataFrame, block_words: int = 128, share: float = 1.5, most: floa
     goals = materialize(targets(sizes, share, most, weights), "mix-targets")
     pieces = pieces_of(starts_of(sizes), block_words).alias("p")
     slots = slots_of(goals, block_words, seed=seed).alias("s")
-    plan = pieces.join(slots, (F.col("p.block") == F.col("s.block")) & F.col("p.source").eqNullSafe(F.col("s.source")))
+    # both sides grow with the input, though the plan's size estimate of the slots is that of the targets they are made from
+    plan = pieces.hint("merge").join(slots, (F.col("p.block") == F.col("s.block")) & F.col("p.source").eqNullSafe(F.col("s.source")))
     return goals, plan.select("p.*", "s.shard", "s.slot", "s.pass")
 
 
