@@ -40,6 +40,12 @@ def op4_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .parity_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .boosting import quality_scores
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_ppm_scores": op3_ppm_scores,
     "op4_suffix_decontamination": op4_suffix_decontamination,
+    "op5_parity_join": op5_parity_join,
     "op6_boosted_quality": op6_boosted_quality,
     "op7_warc_dictionary": op7_warc_dictionary,
     "op8_token_files": op8_token_files,
