@@ -67,6 +67,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(tokens)).withColumnRenamed("id", "doc_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sadedup import removed
+
+    return removed(table(spark, sf_dir, "documents"), 400).drop("kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op6_boosted_quality": op6_boosted_quality,
     "op7_warc_dictionary": op7_warc_dictionary,
     "op8_token_files": op8_token_files,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
