@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, gather, input_bytes, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, word_spans
+from .common import chunks, crc_mod, gather, input_bytes, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
 
 END, SYMBOLS, ORDER = 256, 257, 5
 
@@ -86,7 +86,7 @@ class Probed:
 
     def __init__(self, keys: np.ndarray) -> None:
         n = len(keys)
-        self.bits = max(4, int(2 * n).bit_length())
+        self.bits = max(4, int(1.4 * n).bit_length())
         home = self._home(keys)
         order = np.argsort(home, kind="stable")
         spot = np.maximum.accumulate(home[order] - np.arange(n)) + np.arange(n) if n else home  # each at its place or behind the last
@@ -142,8 +142,11 @@ class Level:
         self.mask = np.int64((1 << 8 * order) - 1)
         return self
 
-    def slim(self) -> None:
+    def slim(self, longest: bool) -> None:
+        """Leave what scoring needs; nothing escapes into the longest order."""
         del self.key, self.count, self.total, self.kinds
+        if longest:
+            del self.log
 
 
 class Tables:
@@ -160,8 +163,8 @@ class Tables:
             key, count = summed([(c[own] & mask) << 9 | s[own]], [n[own]])
             self.levels.append(Level(key, count, self.levels[-1] if k else None).set_order(k))
         self.uniform = -math.log10(max(1, SYMBOLS - len(self.levels[0].key))) if len(self.levels[0].key) < SYMBOLS else -300.0
-        for x in self.levels:
-            x.slim()
+        for k, x in enumerate(self.levels):
+            x.slim(k == order)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Sum of log10 chances of each text's bytes and end, over the positions that are this table's."""
@@ -192,7 +195,8 @@ class Tables:
             at = live[hit & fresh]
             lp[at] = level.top[gram[hit & fresh]]
             old = hit & ~fresh
-            lp[live[old]] += level.log[gram[old]] - (self.levels[k + 1].rest[above[old]] if k < K else 0)
+            if k < K:
+                lp[live[old]] += level.log[gram[old]] - self.levels[k + 1].rest[above[old]]
             miss = ~hit
             live, above, c = live[miss], above[miss], c[miss]
             here = level.contexts.find(c.astype(np.uint64))
@@ -246,18 +250,22 @@ def gram_counts(train: DataFrame, hot: np.ndarray, text: str = "text") -> DataFr
     def run(batches):
         hot, held = shared.value, {0: ([], []), 1: ([], [])}
         for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
+            for _, data, offsets in chunks(batch.column("text"), 1 << 20):
                 low = lower_ascii(data)
                 for kind, (k, c) in ((0, grams(low, offsets)), (1, _hot_counts(low, offsets, hot))):
                     held[kind][0].append(k)
                     held[kind][1].append(c)
-                    if sum(map(len, held[kind][0])) > 2_000_000:
+                    if sum(map(len, held[kind][0])) > 1_000_000:
                         k, c = summed(*held[kind])
                         held[kind] = ([k], [c])
         for kind, (k, c) in held.items():
             if k:
                 k, c = summed(k, c)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["kind", "key", "count"])
+                for i in range(0, len(k), 100_000):
+                    part, times = k[i : i + 100_000], c[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(times.astype(np.int64))], ["kind", "key", "count"])
+        held.clear()
+        trim()
 
     return _text(train, text).mapInArrow(run, "kind int, key bigint, count bigint").groupBy("kind", "key").agg(F.sum("count").alias("count"))
 
@@ -301,7 +309,7 @@ def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 3_000_000,
         def run(batches, shared=shared):
             tables = shared.value
             for batch in batches:
-                parts = [tables.score(lower_ascii(d), o) for _, d, o in chunks(batch.column(at), 1 << 20)]
+                parts = [tables.score(lower_ascii(d), o) for _, d, o in chunks(batch.column(at), 1 << 19)]
                 total = np.concatenate(parts) if parts else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(batch.column(len(names) - 1).to_numpy() + total)], names)
 
@@ -361,7 +369,7 @@ def rare_words(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> Data
         value = np.log10(hot_counts + 1.0)
         for batch in batches:
             key, train = batch.column("key").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
-            for a, data, offsets in chunks(batch.column("text")):
+            for a, data, offsets in chunks(batch.column("text"), 1 << 20):
                 low = lower_ascii(data)
                 s, e, first = word_spans(low, offsets)
                 h = span_hash(low, s, e)
@@ -381,6 +389,7 @@ def rare_words(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> Data
                     {"h": np.concatenate([h[heads], np.zeros(len(rows), np.uint64)]), "key": np.concatenate([key[a + doc[heads]], key[a + rows]]),
                      "n": np.concatenate([times, known[rows]]).astype(np.int32), "extra": np.concatenate([np.where(train[a + doc[heads]], 1.0, 0.0), sums[rows]]).astype(np.float32)},
                 )
+        trim()
 
     return docs.select("text", "key", "train").mapInArrow(run, scattered(["h", "key", "n", "extra"])).repartition(parts, "bucket")
 
@@ -389,6 +398,7 @@ def rare_sums(buckets: DataFrame) -> DataFrame:
     """(key, total, known, kinds): by document the sum of log10(c + 1), its known tokens; a row with a null key counts known words."""
 
     def run(batches):
+        trim()
         g = gather(batches, {"h": "u8", "key": "i8", "n": "i4", "extra": "f4"})
         ready_made = g["h"] == 0
         h, key, n, train = (g[c][~ready_made] for c in ("h", "key", "n", "extra"))
