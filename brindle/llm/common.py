@@ -73,6 +73,21 @@ def _clean() -> None:
             return
 
 
+#: Bytes of 64-bit row keys up to which drop_rows() broadcasts them.
+BROADCAST_KEYS = 32 << 20
+
+
+def drop_rows(df: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """``df`` without the rows whose xxhash64 of ``columns`` is in the one column of ``keys``.
+
+    A counted, small set of keys is broadcast, so that texts stay where they
+    are; a larger one meets the rows in a shuffle.
+    """
+    keys = materialize(keys.toDF("__key").distinct(), "row-keys")
+    small = keys.count() * 8 <= BROADCAST_KEYS
+    return df.withColumn("__key", F.xxhash64(*columns)).join(F.broadcast(keys) if small else keys.hint("merge"), "__key", "left_anti").drop("__key")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of what ``df`` reads."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gather, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, word_spans
+from .common import chunks, drop_rows, gather, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, word_spans
 
 WIDTH, SMALL, SKETCH_WORDS = 5, 12, 16
 #: Bytes of node ids that may be broadcast; beyond that, texts are joined by a shuffle.
@@ -406,8 +406,9 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, text: str, id:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that have their component's smallest id; of rows that share it, one."""
-    found = jaccard_components(docs, text, id)
-    keep = found.where(F.col(id).isNull() | (F.col(id) == F.col("component_id"))).select(F.col(id).alias("__id")).distinct()
-    kept = docs.join(keep, F.col(id).eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that have their component's smallest id; of rows that share it, one. Rows with a null id stay."""
+    found = materialize(jaccard_components(docs, text, id), "components")
+    kept = drop_rows(docs, found.where(F.col(id) != F.col("component_id")).select(F.xxhash64(id)), id)
+    if found.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
     return kept.where(F.col(id).isNotNull()).dropDuplicates([id]).union(kept.where(F.col(id).isNull()))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import drop_rows, materialize, words_of
 
 SPACE_CLASS = " \t\n\x0b\f\r"
 #: The symbols that count as such.
@@ -78,11 +78,11 @@ def statistics(docs: DataFrame, text: str = "text", id: str = "doc_id", stratum:
     of_bare = _let(bare, lambda b: F.struct(F.length(b).alias("word_chars"), (F.length(b) - F.length(F.translate(b, SYMBOLS, ""))).alias("n_symbols")))
     dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return docs.select(
-        F.col(id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), of_words.alias("w"), of_bare.alias("b"), dup.cast("bigint").alias("n_dup_lines"),
+        F.col(id).alias("doc_id"), F.xxhash64(id, text).alias("row_key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), of_words.alias("w"), of_bare.alias("b"), dup.cast("bigint").alias("n_dup_lines"),
         F.regexp_count(t, F.lit("\n")).cast("bigint").alias("n_breaks"), F.regexp_count(t, F.lit("\\p{Lu}")).cast("bigint").alias("n_capitals"),
         F.regexp_count(t, F.lit(r"(?i)\b(?:" + "|".join(abusive) + r")\b")).cast("bigint").alias("n_abusive"),
     ).select(
-        "doc_id", "stratum", *[F.col(f"w.{c}").cast("bigint").alias(c) for c in ("n_words", "n_repeat_words")],
+        "doc_id", "row_key", "stratum", *[F.col(f"w.{c}").cast("bigint").alias(c) for c in ("n_words", "n_repeat_words")],
         *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("word_chars", "n_symbols")], "n_dup_lines", "n_breaks", "n_capitals", "n_abusive",
     )
 
@@ -153,3 +153,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     stats = materialize(statistics(docs), "rule-stats")
     cuts = materialize(thresholds(stats, labels, **options), "rule-cutoffs")
     return verdicts(stats, cuts)
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they are."""
+    out = quality_rules(docs, labels, **options)
+    return drop_rows(docs, out.where(~F.col("kept")).select("row_key"), id, text)

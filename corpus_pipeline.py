@@ -1,11 +1,66 @@
-"""Stages that turn raw documents into token files (filled in as the operators land)."""
+"""From raw documents to token files: five stages, each written as Parquet and read again as the next one's input.
 
-STAGES = []
+Every stage but the last returns the columns of ``documents``. Stages 1 to 3
+leave rows out and never change one; the mix repeats and cuts documents to its
+blocks; the last writes the token files and returns what reading them back
+gives. Empty tables, null columns and repeated rows are handled as the operators
+say (see the docstrings in brindle/llm).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from brindle.llm.common import materialize, table
+from brindle.llm.decontaminate import clean
+from brindle.llm.mixing import apply_mix
+from brindle.llm.parity_join import one_of_each
+from brindle.llm.quality_rules import apply_rules
+from brindle.llm.token_files import read_tokens, tokenize, write_tokens
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the risk-controlled ones."""
+    return apply_rules(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 75 % of their 5-word shingles."""
+    return one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any 10-word window of the benchmark."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a row for each document and pass over it."""
+    return apply_mix(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row, as read back from the files."""
+    import public_tokenizers
+
+    tokens = materialize(tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2), "token-ids")
+    return read_tokens(write_tokens(tokens)).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", token_files),
+]
+
+#: The tokenizer of the last stage has no SQL form; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
     return docs
