@@ -191,7 +191,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = WORD) -
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def chunks(column: pa.Array, most: int = 2 << 20):
+def chunks(column: pa.Array, most: int = 1 << 20):
     """(first row, data, offsets) of consecutive rows with about ``most`` bytes of text; a longer text is a chunk of its own."""
     data, offsets = utf8(column)
     a, n = 0, len(offsets) - 1

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, chunks, lower_ascii, mix64, per_row, ranges, ready, span_hash, utf8, word_spans
+from .common import byte_class, chunks, lower_ascii, materialize, mix64, per_row, ranges, ready, span_hash, utf8, word_spans
 
 #: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text.
 WORDS = byte_class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
@@ -163,12 +163,13 @@ def _spans(hit: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndar
     return text, at[heads] - first[text], at[tails] + 1 - first[text]
 
 
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, id: str, text: str) -> list[Benchmark]:
+def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, id: str, text: str):
     """The benchmark in blocks of at most about ``block_bytes``, each checked in size before it comes to the driver."""
     rows = benchmark.select(F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    return [Benchmark([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()], window) for k in range(n)]
+    for k in range(n):
+        yield Benchmark([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()], window)
 
 
 def _scan(column, bench: Benchmark):
@@ -182,7 +183,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     spark = ready(docs.sparkSession)
     out = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("longest"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("spans"))
     kind = out.schema
-    for bench in blocks_of(benchmark, window, block_bytes, item_id, item_text):
+    for k, bench in enumerate(blocks_of(benchmark, window, block_bytes, item_id, item_text)):
+        if k:  # one block, and one worker, at a time
+            out = materialize(out, "benchmark-block")
         shared = spark.sparkContext.broadcast(bench)
 
         def run(batches, shared=shared):
@@ -211,7 +214,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
     spark = ready(docs.sparkSession)
     at = docs.columns.index(text)
     out = docs
-    for bench in blocks_of(benchmark, window, block_bytes, item_id, item_text):
+    for k, bench in enumerate(blocks_of(benchmark, window, block_bytes, item_id, item_text)):
+        if k:  # one block, and one worker, at a time
+            out = materialize(out, "benchmark-block")
         shared = spark.sparkContext.broadcast(bench)
 
         def run(batches, shared=shared):

@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_rows, gather, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, word_spans
+from .common import chunks, drop_rows, gather, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
 
 WIDTH, SMALL, SKETCH_WORDS = 5, 12, 16
-#: Bytes of node ids that may be broadcast; beyond that, texts are joined by a shuffle.
+#: Bytes of id hashes that may be broadcast; beyond that, texts are joined by a shuffle.
 BROADCAST = 32 << 20
 
 
@@ -153,7 +153,7 @@ def sets_of(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 
     def run(batches):
         for batch in batches:
-            for a, data, offsets in chunks(batch.column("text")):
+            for a, data, offsets in chunks(batch.column("text"), 1 << 20):
                 h, first = shingles(data, offsets)
                 n = len(offsets) - 1
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, n), pa.array(np.diff(first)), pa.array(fingerprints(h, first))], ["id", "n", "node"])
@@ -164,11 +164,11 @@ def sets_of(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(kind, key, a, b): kind 0 pairs to compare; kind 1 members (a) of large groups (key)."""
     rows = _texts(docs, text, id)
-    parts = shuffle_partitions(rows, 3.0)
+    parts = shuffle_partitions(rows, 6.0)
 
     def keyed(batches):
         for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
+            for _, data, offsets in chunks(batch.column("text"), 1 << 20):
                 h, first = shingles(data, offsets)
                 node = fingerprints(h, first)
                 _, at = np.unique(node, return_index=True)  # equal sets of a batch send their keys once
@@ -179,6 +179,7 @@ def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
                 sizes = np.where(once, np.diff(first), 0)
                 key, row = keys_of(h[keep], np.concatenate([[0], np.cumsum(sizes)]))
                 yield scatter((key % np.uint64(parts)).astype(np.int64), {"key": key, "node": node[row], "n": sizes[row].astype(np.int32)})
+        trim()
 
     def grouped(batches):
         g = gather(batches, {"key": "u8", "node": "i8", "n": "i4"})
@@ -207,34 +208,24 @@ def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
             for i in range(0, len(a), 200_000):
                 j = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[j]), kind, np.int32)), pa.array(k[j]), pa.array(a[j]), pa.array(b[j])], ["kind", "key", "a", "b"])
+        del key, node, n, new, head, size, at, many, pairs, large, x
+        trim()
 
     return rows.mapInArrow(keyed, scattered(["key", "node", "n"])).repartition(parts, "bucket").mapInArrow(grouped, "kind int, key bigint, a bigint, b bigint")
 
 
 def node_data(docs: DataFrame, rows: DataFrame, wanted: DataFrame, whole: bool, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(node, n, data): the dense sketch, or the whole set (int64 bytes), of each node wanted, from one document that has it."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     light = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    count = light.count()
-    if count * 16 <= BROADCAST:
-        ids = np.sort(light.select(F.xxhash64("id").alias("h")).toArrow().column("h").to_numpy())
-        shared = spark.sparkContext.broadcast(ids)
-        texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(id)).alias("h"))
-
-        def own(batches):
-            ids = shared.value
-            for batch in batches:
-                h = batch.column("h").to_numpy()
-                at = np.minimum(np.searchsorted(ids, h), max(len(ids) - 1, 0))
-                yield batch.filter(pa.array(ids[at] == h if len(ids) else np.zeros(len(h), bool))).select(["text"])
-
-        texts = texts.mapInArrow(own, "text string")
-    else:
-        texts = _texts(docs, text, id).join(light.select("id").distinct(), "id", "left_semi").select("text")
+    ids = materialize(light.select(F.xxhash64("id").alias("h")).distinct(), "wanted")
+    small = ids.count() * 8 <= BROADCAST
+    texts = docs.select(F.xxhash64(F.col(id)).alias("h"), F.col(text).cast("string").alias("text"))
+    texts = texts.join(F.broadcast(ids) if small else ids.hint("merge"), "h", "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
-            for _, data, offsets in chunks(batch.column("text")):
+            for _, data, offsets in chunks(batch.column("text"), 1 << 20):
                 h, first = shingles(data, offsets)
                 node = fingerprints(h, first)
                 _, at = np.unique(node, return_index=True)

@@ -302,7 +302,7 @@ def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 3_000_000,
     """Adds ``score`` to ``docs`` (whose text column comes back as it was)."""
     spark = ready(docs.sparkSession)
     out = docs.withColumn("score", F.lit(0.0))
-    names, at = out.columns, out.columns.index(text)
+    names, at, made = out.columns, out.columns.index(text), 0
     for tables in tables_of(counts, max_grams):
         shared = spark.sparkContext.broadcast(tables)
 
@@ -313,6 +313,9 @@ def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 3_000_000,
                 total = np.concatenate(parts) if parts else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(batch.column(len(names) - 1).to_numpy() + total)], names)
 
+        if made:  # one table, and one worker, at a time
+            out = materialize(out, "ppm-partial")
+        made += 1
         out = out.mapInArrow(run, out.schema)
     return out
 
