@@ -61,10 +61,12 @@ def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import materialize
-    from .token_files import read_tokens, tokenize, write_tokens
+    from .token_files import id_bytes, read_tokens, tokenize, write_tokens
 
-    tokens = materialize(tokenize(table(spark, sf_dir, "documents"), _vocab("word_bpe_49k.json"), end_id=2), "token-ids")
-    return read_tokens(write_tokens(tokens)).withColumnRenamed("id", "doc_id")
+    vocab = _vocab("word_bpe_49k.json")
+    width = id_bytes(vocab)
+    tokens = materialize(tokenize(table(spark, sf_dir, "documents"), vocab, end_id=2, width=width), "token-ids")
+    return read_tokens(write_tokens(tokens, width=width)).withColumnRenamed("id", "doc_id")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

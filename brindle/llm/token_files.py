@@ -176,8 +176,16 @@ def _drop_encoders() -> None:
         trim()
 
 
-def tokenize(docs: DataFrame, vocab: str, end_id: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, ids): the text's token ids and the end id, as little-endian uint32 bytes."""
+def id_bytes(vocab: str) -> int:
+    """Bytes that hold any id of a vocabulary file: 2 or 4."""
+    with open(vocab, encoding="utf-8") as f:
+        spec = json.load(f)
+    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return 2 if top < 1 << 16 else 4
+
+
+def tokenize(docs: DataFrame, vocab: str, end_id: int = 2, text: str = "text", id: str = "doc_id", width: int = 4) -> DataFrame:
+    """(id, ids): the text's token ids and the end id, as little-endian unsigned numbers of ``width`` bytes (see id_bytes)."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
 
@@ -187,8 +195,8 @@ def tokenize(docs: DataFrame, vocab: str, end_id: int = 2, text: str = "text", i
             for a, data, offsets in chunks(batch.column("text")):
                 ids, first = e.encode(data, offsets)
                 n = len(offsets) - 1
-                out = np.insert(ids, first[1:], end_id).astype("<u4")
-                ends = (first + np.arange(n + 1)) * 4
+                out = np.insert(ids, first[1:], end_id).astype(f"<u{width}")
+                ends = (first + np.arange(n + 1)) * width
                 blob = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, n), blob], ["id", "ids"])
 
@@ -307,7 +315,7 @@ class Code:
 # Files ---------------------------------------------------------------------
 
 
-def token_counts_of(tokens: DataFrame) -> DataFrame:
+def token_counts_of(tokens: DataFrame, width: int = 4) -> DataFrame:
     """(token, count) over all documents, summed within each task first; as many rows as the vocabulary has entries."""
 
     def run(batches):
@@ -315,7 +323,7 @@ def token_counts_of(tokens: DataFrame) -> DataFrame:
         totals = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                t = np.frombuffer(ids.as_buffer(), "<u4") if ids.is_valid else np.zeros(0, np.uint32)
+                t = np.frombuffer(ids.as_buffer(), f"<u{width}") if ids.is_valid else np.zeros(0, np.uint32)
                 c = np.bincount(t)
                 if len(c) > len(totals):
                     c[: len(totals)] += totals
@@ -332,11 +340,11 @@ def _fs(path: str):
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path.removeprefix('file:')}")
 
 
-def write_tokens(tokens: DataFrame, root: str | None = None, max_bits: int = 16, partitions: int | None = None) -> DataFrame:
+def write_tokens(tokens: DataFrame, root: str | None = None, max_bits: int = 16, partitions: int | None = None, width: int = 4) -> DataFrame:
     """Write (id, ids) rows, sorted by id, as files below ``root``; returns the manifest (part, path, docs, tokens, bytes)."""
     spark = ready(tokens.sparkSession)
     root = root or new_path(spark, "tokens")
-    got = token_counts_of(tokens).orderBy("token").toArrow()
+    got = token_counts_of(tokens, width).orderBy("token").toArrow()
     code = Code.of(got.column("token").to_numpy(), got.column("count").to_numpy(), max_bits)
     header = code.header()
     parts = partitions or shuffle_partitions(tokens, 1.0)
@@ -372,7 +380,7 @@ def write_tokens(tokens: DataFrame, root: str | None = None, max_bits: int = 16,
                     fs.create_dir(top, recursive=True)
                     out = fs.open_output_stream(temporary, compression=None)
                     put(header)
-                t = np.frombuffer(batch.column(1)[i].as_buffer(), "<u4")
+                t = np.frombuffer(batch.column(1)[i].as_buffer(), f"<u{width}")
                 held.append(t)
                 held_n += len(t)
                 sizes.append(len(t))

@@ -16,7 +16,7 @@ from brindle.llm.decontaminate import clean
 from brindle.llm.mixing import apply_mix
 from brindle.llm.parity_join import one_of_each
 from brindle.llm.quality_rules import apply_rules
-from brindle.llm.token_files import read_tokens, tokenize, write_tokens
+from brindle.llm.token_files import id_bytes, read_tokens, tokenize, write_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,10 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row, as read back from the files."""
     import public_tokenizers
 
-    tokens = materialize(tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2), "token-ids")
-    return read_tokens(write_tokens(tokens)).withColumnRenamed("id", "doc_id")
+    vocab = public_tokenizers.path("word_bpe_49k.json")
+    width = id_bytes(vocab)
+    tokens = materialize(tokenize(docs, vocab, end_id=2, width=width), "token-ids")
+    return read_tokens(write_tokens(tokens, width=width)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
