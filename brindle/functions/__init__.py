@@ -1 +1 @@
-"""See the package README section."""
+"""Scalar and aggregate functions with the reference's rules, as Column expressions (Python only where said)."""

@@ -1 +1 @@
-"""See the package README section."""
+"""Plan trees, state decisions, deltas and the queries that stay up to date."""

@@ -1 +1,91 @@
-"""See the package README section."""
+"""Tables in and out: parquet, delimited text, JSON, JDBC, samples, values and table-valued rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def register(spark: SparkSession, folder: str, names: tuple[str, ...]) -> None:
+    """Make tables of a folder known to SQL by their names."""
+    for name in names:
+        table(spark, folder, name).createOrReplaceTempView(name)
+
+
+def copy_from(spark: SparkSession, path: str, schema: str, delimiter: str = "\t", null: str = "\\N", header: bool = False, quote: str = '"', escape: str = '"', encoding: str = "UTF-8") -> DataFrame:
+    """Bulk text input. An unquoted ``null`` marker is null; a malformed row fails the query."""
+    return spark.read.csv(path, schema=schema, sep=delimiter, nullValue=null, header=header, quote=quote, escape=escape, encoding=encoding, mode="FAILFAST", emptyValue="")
+
+
+def copy_to(df: DataFrame, path: str, delimiter: str = "\t", null: str = "\\N", header: bool = False, quote: str = '"', escape: str = '"', mode: str = "error") -> None:
+    df.write.csv(path, sep=delimiter, nullValue=null, header=header, quote=quote, escape=escape, emptyValue='""', mode=mode)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def read_remote(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
+    """A query on another database; filters of the result are pushed into it where they can be."""
+    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def bernoulli(df: DataFrame, percent: float, key: str, seed: int = 0) -> DataFrame:
+    """Each row by itself with the given chance, decided by its key: the same rows in every run and partitioning."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(percent * 10_000))
+
+
+def system_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """Exactly min(n, rows) rows: those of the smallest keyed hash, found by a distributed top-n."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+
+
+def with_ordinality(df: DataFrame, array: Column, value: str = "value", ordinality: str = "ordinality") -> DataFrame:
+    """One row for each element, numbered from 1."""
+    return df.select("*", F.posexplode(array).alias("__pos", value)).withColumn(ordinality, F.col("__pos").cast("bigint") + 1).drop("__pos")
+
+
+def row_positions(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Rows with the file and position they are stored at."""
+    return table(spark, folder, name).select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+
+
+def create_table_as(df: DataFrame, path: str, with_data: bool = True) -> DataFrame:
+    (df if with_data else df.limit(0)).write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def refresh(df: DataFrame, path: str) -> DataFrame:
+    """Full recomputation of a stored result: the baseline that incremental refreshes are held against."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: dict[str, Column] | None = None) -> DataFrame:
+    """INSERT ... ON CONFLICT (keys) DO UPDATE SET ..., or DO NOTHING without ``update``.
+
+    ``update`` may use columns of both sides as t.name and new.name. Of equal
+    keys among the new rows the caller has to leave one.
+    """
+    on = [F.col(f"t.{k}") == F.col(f"new.{k}") for k in keys]
+    fresh = rows.alias("new").join(target.alias("t"), on, "left_anti").select(*target.columns)
+    if update is None:
+        return target.unionByName(fresh)
+    joined = target.alias("t").join(rows.withColumn("__hit", F.lit(True)).alias("new"), on, "left")
+    old = joined.select(*[F.when(F.col("new.__hit"), update[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in update else F.col(f"t.{c}") for c in target.columns])
+    return old.unionByName(fresh)
+
+
+def delete(target: DataFrame, condition: Column) -> DataFrame:
+    """Rows that stay: those for which the condition is false or unknown."""
+    return target.where(~F.coalesce(condition, F.lit(False)))
