@@ -358,13 +358,12 @@ def hot_words(docs: DataFrame, most: int = 50_000, text: str = "text", sample_by
     return np.sort(got.column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def rare_words(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
+def rare_words(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, parts: int) -> DataFrame:
     """Buckets of (word hash, document key, count, whether it trains) of the words that are not hot.
 
     The hot words' share of a document's sum travels as entries of hash 0: their
     value is known already. ``docs`` has text, key and train.
     """
-    parts = shuffle_partitions(docs, 1.5)
     shared = ready(docs.sparkSession).sparkContext.broadcast((hot, hot_counts))
 
     def run(batches):
@@ -397,25 +396,37 @@ def rare_words(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> Data
     return docs.select("text", "key", "train").mapInArrow(run, scattered(["h", "key", "n", "extra"])).repartition(parts, "bucket")
 
 
-def rare_sums(buckets: DataFrame) -> DataFrame:
-    """(key, total, known, kinds): by document the sum of log10(c + 1), its known tokens; a row with a null key counts known words."""
+def rare_sums(buckets: DataFrame, parts: int) -> DataFrame:
+    """(key, total, known): by document the sum of log10(c + 1) and its known tokens; key 0 has the number of known words.
 
-    def run(batches):
+    A document has entries in many buckets of words; they travel to its own
+    bucket packed, as many entries as there were, not a row for each.
+    """
+    def count(batches):
         trim()
         g = gather(batches, {"h": "u8", "key": "i8", "n": "i4", "extra": "f4"})
         ready_made = g["h"] == 0
         h, key, n, train = (g[c][~ready_made] for c in ("h", "key", "n", "extra"))
         kinds, of = np.unique(h, return_inverse=True)
-        c = np.bincount(of, n * train, len(kinds))
-        each = np.log10(c + 1)[of] * n
+        c = np.bincount(of, n * train, len(kinds)).astype(float)
         keys = np.concatenate([key, g["key"][ready_made]])
-        total = np.concatenate([each, g["extra"][ready_made].astype(float)])
+        total = np.concatenate([np.log10(c + 1)[of] * n, g["extra"][ready_made].astype(float)])
         known = np.concatenate([np.where(c[of] > 0, n, 0), g["n"][ready_made]])
         docs, at = np.unique(keys, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.bincount(at, total, len(docs)).astype(float), pa.float64()), pa.array(np.bincount(at, known, len(docs)).astype(np.int64)), pa.array(np.zeros(len(docs), np.int64))], ["key", "total", "known", "kinds"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0.0]), pa.array([0], pa.int64()), pa.array([int((c > 0).sum())], pa.int64())], ["key", "total", "known", "kinds"])
+        docs = np.append(docs, 0)
+        total = np.append(np.bincount(at, total, len(docs) - 1).astype(float), 0.0)
+        known = np.append(np.bincount(at, known, len(docs) - 1).astype(np.int64), int((c > 0).sum()))
+        yield scatter((mix64(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int64), {"key": docs, "total": total, "known": known})
+        del g, h, key, n, train, kinds, of, keys, docs, at, total, known
+        trim()
+
+    def add(batches):
+        g = gather(batches, {"key": "i8", "total": "f8", "known": "i8"})
+        docs, at = np.unique(g["key"], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.bincount(at, g["total"], len(docs)).astype(float)), pa.array(np.bincount(at, g["known"], len(docs)).astype(np.int64))], ["key", "total", "known"])
 
-    return buckets.mapInArrow(run, "key bigint, total double, known bigint, kinds bigint").groupBy("key").agg(F.sum("total").alias("total"), F.sum("known").alias("known"), F.sum("kinds").alias("kinds"))
+    packed = buckets.mapInArrow(count, scattered(["key", "total", "known"])).repartition(parts, "bucket")
+    return packed.mapInArrow(add, "key bigint, total double, known bigint")
 
 
 def lm_scores(docs: DataFrame, mod: int = 7, held: int = 2, max_grams: int = 3_000_000) -> DataFrame:
@@ -427,12 +438,13 @@ def lm_scores(docs: DataFrame, mod: int = 7, held: int = 2, max_grams: int = 3_0
     words = counts.where("kind = 1").toArrow()  # no more than the hot words
     hot_counts = np.zeros(len(hot), np.int64)
     hot_counts[np.searchsorted(hot, words.column("key").to_numpy().astype(np.int64).view(np.uint64))] = words.column("count").to_numpy()
-    sums = materialize(rare_sums(rare_words(rows, hot, hot_counts)), "word-sums")
+    parts = shuffle_partitions(rows, 1.5)
+    sums = materialize(rare_sums(rare_words(rows, hot, hot_counts, parts), parts), "word-sums")
     scored = materialize(model_scores(rows, counts, max_grams).select("doc_id", "key", "train", (F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) + 1).cast("bigint").alias("n_tokens"), "score"), "ppm-scores")
     n, ends = scored.where("train").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
-    v = (sums.where("key is null").agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]) + int((hot_counts > 0).sum()) + (ends > 0)
+    v = sums.where("key = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0] + int((hot_counts > 0).sum()) + (ends > 0)
     copies = scored.groupBy("key").agg(F.count("*").alias("copies"))  # equal rows pool their sums
-    own = sums.where("key is not null").join(copies, "key").select("key", (F.col("total") / F.col("copies")).alias("total"), (F.col("known") / F.col("copies")).cast("bigint").alias("known"))
+    own = sums.where("key != 0").join(copies, "key").select("key", (F.col("total") / F.col("copies")).alias("total"), (F.col("known") / F.col("copies")).cast("bigint").alias("known"))
     out = scored.join(own, "key", "left")
     base = F.coalesce("total", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * math.log10(n + v + 1)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), "score")
