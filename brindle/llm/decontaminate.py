@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, chunks, lower_ascii, materialize, mix64, per_row, ranges, ready, span_hash, utf8, word_spans
+from .common import byte_class, chunks, lower_ascii, materialize, mix64, per_row, ranges, ready, span_hash, trim, utf8, word_spans
 
 #: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text.
 WORDS = byte_class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
@@ -174,7 +174,7 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, id: str, text
 
 def _scan(column, bench: Benchmark):
     """(first row, rows, matches) of each shard of an Arrow column."""
-    for a, data, offsets in chunks(column, 16 << 20):
+    for a, data, offsets in chunks(column, 4 << 20):
         yield a, len(offsets) - 1, bench.shard(data, offsets)
 
 
@@ -189,6 +189,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
         shared = spark.sparkContext.broadcast(bench)
 
         def run(batches, shared=shared):
+            trim()
             b = shared.value
             for batch in batches:
                 items, spans = batch.column("items").to_pylist(), batch.column("spans").to_pylist()
@@ -220,6 +221,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
         shared = spark.sparkContext.broadcast(bench)
 
         def run(batches, shared=shared):
+            trim()
             for batch in batches:
                 parts = [m["n_hit"] == 0 for _, _, m in _scan(batch.column(at), shared.value)]
                 yield batch.filter(pa.array(np.concatenate(parts))) if parts else batch

@@ -280,7 +280,7 @@ def _hot_counts(low: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[
     return hot[n > 0].view(np.int64), n[n > 0]
 
 
-def tables_of(counts: DataFrame, max_grams: int = 3_000_000, order: int = ORDER):
+def tables_of(counts: DataFrame, max_grams: int = 1_000_000, order: int = ORDER):
     """The model in tables, made one at a time, each after its size is known."""
     key = F.col("key")
     c = counts.where("kind = 0").select(F.shiftright(key, 57).alias("o"), F.shiftright(key, 9).bitwiseAND(F.lit((1 << 48) - 1)).alias("c"), key.bitwiseAND(F.lit(511)).alias("s"), "count")
@@ -295,16 +295,22 @@ def tables_of(counts: DataFrame, max_grams: int = 3_000_000, order: int = ORDER)
     starts = [0, *(int(group[np.searchsorted(table, k)]) for k in np.unique(table)[1:]), 1 << 16]
     for k, span in enumerate(zip(starts, starts[1:])):
         own = c.where((F.col("o") >= 3) & (third >= span[0]) & (third < span[1]))
-        yield Tables(arrays(own.toArrow()), low, span, k == 0, order)
+        held = arrays(own.toArrow())
+        made = Tables(held, low, span, k == 0, order)
+        del held
+        yield made
+        del made
 
 
-def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 3_000_000, text: str = "text") -> DataFrame:
+def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 1_000_000, text: str = "text") -> DataFrame:
     """Adds ``score`` to ``docs`` (whose text column comes back as it was)."""
     spark = ready(docs.sparkSession)
     out = docs.withColumn("score", F.lit(0.0))
     names, at, made = out.columns, out.columns.index(text), 0
     for tables in tables_of(counts, max_grams):
         shared = spark.sparkContext.broadcast(tables)
+        del tables
+        trim()
 
         def run(batches, shared=shared):
             tables = shared.value
@@ -429,7 +435,7 @@ def rare_sums(buckets: DataFrame, parts: int) -> DataFrame:
     return packed.mapInArrow(add, "key bigint, total double, known bigint")
 
 
-def lm_scores(docs: DataFrame, mod: int = 7, held: int = 2, max_grams: int = 3_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, mod: int = 7, held: int = 2, max_grams: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), (crc_mod("doc_id", mod) != held).alias("train"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
