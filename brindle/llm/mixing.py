@@ -177,8 +177,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     _, plan = mix(sizes, **options)
     spans = plan.groupBy(*KEY, "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"), F.first("size").alias("size"))
     names = docs.columns
-    rows = docs.withColumns({"text_hash": F.xxhash64("text")}).dropDuplicates(KEY)
-    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in KEY]
+    rows = docs.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__text_hash"])
+    on = [F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("d.source").cast("string").eqNullSafe(F.col("s.source")), F.col("d.__text_hash") == F.col("s.text_hash")]
     joined = rows.alias("d").join(spans.alias("s"), on).select(*[F.col(f"d.`{c}`") for c in names], F.col("s.spans.from").alias("__from"), F.col("s.spans.to").alias("__to"), F.col("s.size").alias("__size"))
 
     def run(batches):
