@@ -93,10 +93,15 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+#: Catalyst's estimate where it knows nothing is the largest long; so are products of such.
+UNKNOWN = 1 << 60
+
+
 def shuffle_partitions(df: DataFrame, factor: float, target: int = 48 << 20) -> int:
     """Partitions so that ``factor`` times the input, split among them, is about ``target`` bytes each."""
     spark = df.sparkSession
-    need = int(input_bytes(df) * factor / target) + 1
+    size = input_bytes(df)
+    need = int(size * factor / target) + 1 if size < UNKNOWN else 1
     return max(need, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 4)
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, gather, input_bytes, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
+from .common import UNKNOWN, chunks, crc_mod, gather, input_bytes, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
 
 END, SYMBOLS, ORDER = 256, 257, 5
 
@@ -344,7 +344,8 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER, text: str = "text", id:
 
 def hot_words(docs: DataFrame, most: int = 50_000, text: str = "text", sample_bytes: int = 8 << 20) -> np.ndarray:
     """Sorted hashes of at most ``most`` words seen three times or more in a sample of about ``sample_bytes`` of the input."""
-    m = max(1, input_bytes(docs) // sample_bytes)
+    size = input_bytes(docs)
+    m = max(1, size // sample_bytes) if size < UNKNOWN else 1
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0)
 
     def run(batches):
