@@ -324,28 +324,46 @@ def components(edges: DataFrame) -> DataFrame:
 def rest_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of large groups that lie in different components and pass the sketch test; compared in blocks within a group."""
     members = groups.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("key", F.col("a").alias("node"), F.col("b").alias("n"), F.coalesce("root", "a").alias("root"))
-    open_ = members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    rows = members.join(open_, "key", "left_semi").join(sketches.select("node", "data").hint("merge"), "node")
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    big = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    left = materialize(members.join(big, "key").where("root != big"), "left")
+    # members outside their group's largest component, against each other; groups of the same such members need one look
+    seen = left.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("x != y")
+    inner = left.join(seen.dropDuplicates(["c", "who"]).select("key"), "key", "left_semi").select("key", "node", "n", "root", F.lit(None).cast("bigint").alias("big"))
+    # and against the largest component: once for each component, whatever the number of keys, its members dealt over salts
+    whole = members.select("node", "n", "root").distinct().join(left.select(F.col("big").alias("root")).distinct(), "root", "left_semi")
+    sizes = whole.groupBy("root").agg(F.ceil(F.count("*") / 4096).cast("int").alias("salts"))
+    ys = whole.join(sizes, "root").select(F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("key"), "node", "n", "root", F.col("root").alias("big"))
+    xs = left.select("node", "n", "root", "big").distinct().join(sizes.withColumnRenamed("root", "big"), "big").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    xs = xs.select(F.xxhash64("big", "salt").alias("key"), "node", "n", "root", "big")
+    rows = inner.unionByName(xs).unionByName(ys).join(sketches.select("node", "data").hint("merge"), "node")
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def flush(node, n, root, data):
+    def flush(node, n, root, big, data):
         data = np.frombuffer(b"".join(data), np.uint64).reshape(-1, SKETCH_WORDS)
-        node, n, root = np.array(node), np.array(n), np.array(root)
+        node, n, root, big = np.array(node), np.array(n), np.array(root), big[0]
         order = np.argsort(n, kind="stable")
         node, n, root, data = node[order], n[order], root[order], data[order]
+        roots, of, size = np.unique(root, return_inverse=True, return_counts=True)
+        most = size.argmax() if big is None else np.searchsorted(roots, big)
+        left = np.flatnonzero(of != most)  # members of the largest component are compared with the others only
         step = 256
-        for i in range(0, len(node), step):
-            x = slice(i, i + step)
-            end = int(np.searchsorted(n, 4 * n[min(i + step, len(n)) - 1] // 3, "right"))
-            for j in range(i, end, 2048):
+        for i in range(0, len(left), step):
+            x = left[i : i + step]
+            begin = int(np.searchsorted(n, 3 * n[x[0]] / 4, "left"))
+            end = int(np.searchsorted(n, 4 * n[x[-1]] / 3, "right"))
+            for j in range(begin, end, 2048):
                 y = slice(j, min(j + 2048, end))
-                ok = _possible(n[x, None], n[None, y], data[x, None, :], data[None, y, :]) & (root[x, None] != root[None, y]) & (4 * n[x, None] >= 3 * n[None, y])
+                ok = (root[x, None] != root[None, y] if big is None else (root[None, y] == big) & np.ones((len(x), 1), bool)) & (4 * np.minimum(n[x, None], n[None, y]) >= 3 * np.maximum(n[x, None], n[None, y]))
                 a, b = np.nonzero(ok)
-                a, b = node[x][a], node[y][b]
-                yield np.minimum(a, b), np.maximum(a, b)
+                for k in range(0, len(a), 1 << 18):
+                    p, q = x[a[k : k + (1 << 18)]], j + b[k : k + (1 << 18)]
+                    hit = _possible(n[p], n[q], data[p], data[q])
+                    p, q = node[p[hit]], node[q[hit]]
+                    yield np.minimum(p, q), np.maximum(p, q)
 
     def run(batches):
-        key, held = None, ([], [], [], [])
+        key, held = None, ([], [], [], [], [])
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def emit():
@@ -356,17 +374,17 @@ def rest_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> Data
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
         for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "root", "data"))):
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "root", "big", "data"))):
                 if k != key:
                     if held[0]:
                         yield emit()
-                    key, held = k, ([], [], [], [])
+                    key, held = k, ([], [], [], [], [])
                 for store, v in zip(held, row):
                     store.append(v)
         if held[0]:
             yield emit()
 
-    return rows.select("key", "node", "n", "root", "data").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select("key", "node", "n", "root", "big", "data").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
