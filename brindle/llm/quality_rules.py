@@ -24,12 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_rows, materialize, words_of
+from .common import crc_mod, drop_rows, materialize, words_of
 
 SPACE_CLASS = " \t\n\x0b\f\r"
 #: The symbols that count as such.
 SYMBOLS = "#*$%&|<>"
-#: English insults; a parameter of the rule on abusive words.
+#: English insults; more words are learned from labels, in any language (see abusive_words).
 ABUSIVE = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "imbecile", "jerk", "dumb", "filthy", "vermin", "coward")
 #: By rule, the cutoffs from mild to strict.
 CUTOFFS = {
@@ -37,8 +37,12 @@ CUTOFFS = {
     "capitals": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15),
     "dup_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
     "repeats": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
-    "abuse": (0.1, 0.05, 0.03, 0.02, 0.01, 0.008, 0.006, 0.004, 0.003, 0.002, 0.001, 0.0005, 0.0),
+    "abuse": (20.0, 15.0, 12.0, 10.0, 8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0, 0.0),
 }
+#: Rules that learn from one half of the labels and are tested on the other.
+LEARNED = ("abuse",)
+#: Bytes of labels, or of words, that may be broadcast; more are joined by a shuffle.
+BROADCAST = 32 << 20
 
 
 def _let(value: Column, body) -> Column:
@@ -69,6 +73,32 @@ def _neighbour(s: Column, x: Column, k: Column) -> Column:
     return same(k - 1) | same(k + 1)
 
 
+def _letters(text: Column) -> Column:
+    """Lower-cased runs of letters."""
+    return F.split(F.lower(text), "[^\\p{L}]+")
+
+
+def _learns(id: str = "doc_id") -> Column:
+    return crc_mod(id, 2) == 0
+
+
+def abusive_words(docs: DataFrame, labels: DataFrame, stratum: str = "lang", known: tuple[str, ...] = ABUSIVE, share: float = 0.15, ratio: float = 20.0, most: int = 1000) -> list[str]:
+    """``known``, and the words that mark toxic documents of the learning half of the labels: in at least ``share`` of a
+    stratum's toxic documents (three or more) and ``ratio`` times rarer in its others; the ``most`` frequent of them."""
+    own = labels.where(F.col("toxic").isin(0, 1) & _learns()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
+    near = lambda df: F.broadcast(df) if df.count() * 64 <= BROADCAST else df
+    own = materialize(own, "toxic-labels")
+    rows = docs.join(near(own), F.col("doc_id") == F.col("__id")).select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "toxic", F.array_distinct(_letters(F.coalesce(F.col("text"), F.lit("")))).alias("words"))
+    totals = rows.groupBy("stratum").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    each = rows.select("stratum", "toxic", F.explode("words").alias("word")).where(F.length("word") > 2)
+    marked = each.where("toxic = 1").groupBy("stratum", "word").agg(F.count("*").alias("n_bad")).join(totals, "stratum")
+    marked = materialize(marked.where((F.col("n_bad") >= 3) & (F.col("n_bad") >= share * F.col("bad"))), "marked-words")
+    others = each.where("toxic = 0").join(near(marked.select("stratum", "word")), ["stratum", "word"], "left_semi").groupBy("stratum", "word").agg(F.count("*").alias("n_good"))
+    found = marked.join(others, ["stratum", "word"], "left").where(F.coalesce("n_good", F.lit(0)) / F.greatest("good", F.lit(1)) * ratio <= F.col("n_bad") / F.col("bad"))
+    top = found.groupBy("word").agg(F.max(F.col("n_bad") / F.col("bad")).alias("share")).orderBy(F.desc("share"), "word").limit(most).collect()
+    return sorted({*known, *(r.word for r in top)})
+
+
 def statistics(docs: DataFrame, text: str = "text", id: str = "doc_id", stratum: str = "lang", abusive: tuple[str, ...] = ABUSIVE) -> DataFrame:
     """Counts of every whole text, beside its id and stratum."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -80,7 +110,7 @@ def statistics(docs: DataFrame, text: str = "text", id: str = "doc_id", stratum:
     return docs.select(
         F.col(id).alias("doc_id"), F.xxhash64(id, text).alias("row_key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), of_words.alias("w"), of_bare.alias("b"), dup.cast("bigint").alias("n_dup_lines"),
         F.regexp_count(t, F.lit("\n")).cast("bigint").alias("n_breaks"), F.regexp_count(t, F.lit("\\p{Lu}")).cast("bigint").alias("n_capitals"),
-        F.regexp_count(t, F.lit(r"(?i)\b(?:" + "|".join(abusive) + r")\b")).cast("bigint").alias("n_abusive"),
+        F.size(F.array_intersect(_letters(t), F.array(*[F.lit(w) for w in abusive]))).cast("bigint").alias("n_abusive"),
     ).select(
         "doc_id", "row_key", "stratum", *[F.col(f"w.{c}").cast("bigint").alias(c) for c in ("n_words", "n_repeat_words")],
         *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("word_chars", "n_symbols")], "n_dup_lines", "n_breaks", "n_capitals", "n_abusive",
@@ -94,7 +124,7 @@ def rule_values() -> dict[str, Column]:
         "capitals": F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
         "dup_lines": F.col("n_dup_lines") / (F.col("n_breaks") + 1),
         "repeats": F.col("n_repeat_words") / words,
-        "abuse": F.col("n_abusive") / words,
+        "abuse": F.col("n_abusive").cast("double"),
     }
 
 
@@ -120,7 +150,8 @@ def thresholds(stats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: f
     held = stats.where(~base_failed()).join(own, "doc_id").withColumn("good", good)
     level = lambda v, cuts: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v))  # noqa: E731  the strictest levels lie at the high end
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(v, CUTOFFS[r]).alias("above")) for r, v in rule_values().items()]))
-    seen = held.select("stratum", "good", each.alias("r")).select("stratum", "good", "r.*").groupBy("stratum", "rule", "above").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    tested = ~F.col("rule").isin(*LEARNED) | ~F.col("learned")
+    seen = held.select("stratum", "good", _learns().alias("learned"), each.alias("r")).select("stratum", "good", "learned", "r.*").where(tested).groupBy("stratum", "rule", "above").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     # cutoffs are in falling order: those below a value are the last ``above`` of the list, so cutoff i rejects values with above >= size - i
     grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("nth"), F.lit(c).alias("cutoff"), F.lit(len(cuts) - i).alias("needs")) for r, cuts in CUTOFFS.items() for i, c in enumerate(cuts)]))
     tries = seen.select("stratum").distinct().select("stratum", grid.alias("g")).select("stratum", "g.*")
@@ -150,7 +181,7 @@ def verdicts(stats: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Counts and verdict of every row of ``docs``."""
-    stats = materialize(statistics(docs), "rule-stats")
+    stats = materialize(statistics(docs, abusive=tuple(abusive_words(docs, labels))), "rule-stats")
     cuts = materialize(thresholds(stats, labels, **options), "rule-cutoffs")
     return verdicts(stats, cuts)
 
