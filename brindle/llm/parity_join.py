@@ -164,7 +164,7 @@ def sets_of(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(kind, key, a, b): kind 0 pairs to compare; kind 1 members (a) of large groups (key)."""
     rows = _texts(docs, text, id)
-    parts = shuffle_partitions(rows, 6.0)
+    parts = shuffle_partitions(rows, 18.0)
 
     def keyed(batches):
         for batch in batches:
