@@ -29,7 +29,7 @@ from .common import crc_mod, drop_rows, materialize, words_of
 SPACE_CLASS = " \t\n\x0b\f\r"
 #: The symbols that count as such.
 SYMBOLS = "#*$%&|<>"
-#: English insults; more words are learned from labels, in any language (see abusive_words).
+#: English insults; more words are learned from labels for each stratum (see abusive_words).
 ABUSIVE = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "imbecile", "jerk", "dumb", "filthy", "vermin", "coward")
 #: By rule, the cutoffs from mild to strict.
 CUTOFFS = {
@@ -82,25 +82,49 @@ def _learns(id: str = "doc_id") -> Column:
     return crc_mod(id, 2) == 0
 
 
-def abusive_words(docs: DataFrame, labels: DataFrame, stratum: str = "lang", known: tuple[str, ...] = ABUSIVE, share: float = 0.15, ratio: float = 20.0, most: int = 1000) -> list[str]:
-    """``known``, and the words that mark toxic documents of the learning half of the labels: in at least ``share`` of a
-    stratum's toxic documents (three or more) and ``ratio`` times rarer in its others; the ``most`` frequent of them."""
+def _near(df: DataFrame) -> DataFrame:
+    """A materialized table, broadcast if it is small."""
+    return F.broadcast(df) if df.count() * 64 <= BROADCAST else df
+
+
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("")).alias("stratum")
+
+
+def abusive_words(docs: DataFrame, labels: DataFrame, stratum: str = "lang", level: float = 0.05, ratio: float = 20.0) -> DataFrame:
+    """(stratum, word): the words that mark a stratum's toxic documents, by the learning half of the labels.
+
+    Such a word is ``ratio`` times rarer in the stratum's other documents, and
+    significantly so: were it as frequent there, that many of its occurrences in
+    toxic ones (given all of both) would have probability at most ``level`` by
+    the number of words tested. Few toxic or few other documents thus mark no
+    word. Documents of the same words in the same order of first use count once.
+    """
     own = labels.where(F.col("toxic").isin(0, 1) & _learns()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
-    near = lambda df: F.broadcast(df) if df.count() * 64 <= BROADCAST else df
     own = materialize(own, "toxic-labels")
-    rows = docs.join(near(own), F.col("doc_id") == F.col("__id")).select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "toxic", F.array_distinct(_letters(F.coalesce(F.col("text"), F.lit("")))).alias("words"))
-    totals = rows.groupBy("stratum").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    each = rows.select("stratum", "toxic", F.explode("words").alias("word")).where(F.length("word") > 2)
-    marked = each.where("toxic = 1").groupBy("stratum", "word").agg(F.count("*").alias("n_bad")).join(totals, "stratum")
-    marked = materialize(marked.where((F.col("n_bad") >= 3) & (F.col("n_bad") >= share * F.col("bad"))), "marked-words")
-    others = each.where("toxic = 0").join(near(marked.select("stratum", "word")), ["stratum", "word"], "left_semi").groupBy("stratum", "word").agg(F.count("*").alias("n_good"))
-    found = marked.join(others, ["stratum", "word"], "left").where(F.coalesce("n_good", F.lit(0)) / F.greatest("good", F.lit(1)) * ratio <= F.col("n_bad") / F.col("bad"))
-    top = found.groupBy("word").agg(F.max(F.col("n_bad") / F.col("bad")).alias("share")).orderBy(F.desc("share"), "word").limit(most).collect()
-    return sorted({*known, *(r.word for r in top)})
-
-
-def statistics(docs: DataFrame, text: str = "text", id: str = "doc_id", stratum: str = "lang", abusive: tuple[str, ...] = ABUSIVE) -> DataFrame:
-    """Counts of every whole text, beside its id and stratum."""
+    rows = docs.join(_near(own), F.col("doc_id") == F.col("__id")).select(_stratum(stratum), "toxic", F.array_distinct(_letters(F.coalesce(F.col("text"), F.lit("")))).alias("words"))
+    texts = rows.groupBy("stratum", F.xxhash64("words").alias("text")).agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
+    texts = materialize(texts, "labelled-words")
+    each = texts.select("stratum", "toxic", F.explode("words").alias("word")).where(F.length("word") > 2)
+    counts = each.groupBy("stratum", "word").agg(F.sum("toxic").alias("n_bad"), F.sum(1 - F.col("toxic")).alias("n_good")).where("n_bad > 0")
+    counts = materialize(counts, "word-counts")
+    totals = texts.groupBy("stratum").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    totals = materialize(totals.join(counts.groupBy("stratum").agg(F.count("*").alias("tested")), "stratum"), "word-totals")
+    rarer = (F.col("good") > 0) & (F.col("n_good") * F.col("bad") * ratio <= F.col("n_bad") * F.col("good"))
+    # of n_bad + n_good documents with the word, so few are others
+    chance = F.when(rarer, tail_at_most(F.col("n_good"), F.col("n_bad") + F.col("n_good"), F.col("good") / (F.col("bad") + F.col("good")))).otherwise(1.0)
+    return materialize(counts.join(_near(totals), "stratum").where(chance * F.col("tested") <= level).select("stratum", "word"), "abusive-words")
+
+
+def abuse_counts(docs: DataFrame, learned: DataFrame, known: tuple[str, ...] = ABUSIVE, text: str = "text", id: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """(row_key, stratum, n_abusive) of the rows with words that are ``known`` or ``learned`` in their stratum."""
+    each = docs.select(F.xxhash64(id, text).alias("row_key"), _stratum(stratum), F.explode(F.array_distinct(_letters(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
+    hits = each.join(_near(learned).withColumn("learned", F.lit(True)), ["stratum", "word"], "left").where(F.col("learned") | F.col("word").isin(*known))
+    return hits.groupBy("row_key", "stratum").agg(F.size(F.collect_set("word")).cast("bigint").alias("n_abusive"))
+
+
+def statistics(docs: DataFrame, text: str = "text", id: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """Counts of every whole text, beside its id and stratum; all but those of abusive words."""
     t = F.coalesce(F.col(text), F.lit(""))
     bare = F.translate(t, SPACE_CLASS, "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACE_CLASS, "")) > 0)
@@ -108,12 +132,11 @@ def statistics(docs: DataFrame, text: str = "text", id: str = "doc_id", stratum:
     of_bare = _let(bare, lambda b: F.struct(F.length(b).alias("word_chars"), (F.length(b) - F.length(F.translate(b, SYMBOLS, ""))).alias("n_symbols")))
     dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return docs.select(
-        F.col(id).alias("doc_id"), F.xxhash64(id, text).alias("row_key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), of_words.alias("w"), of_bare.alias("b"), dup.cast("bigint").alias("n_dup_lines"),
+        F.col(id).alias("doc_id"), F.xxhash64(id, text).alias("row_key"), _stratum(stratum), of_words.alias("w"), of_bare.alias("b"), dup.cast("bigint").alias("n_dup_lines"),
         F.regexp_count(t, F.lit("\n")).cast("bigint").alias("n_breaks"), F.regexp_count(t, F.lit("\\p{Lu}")).cast("bigint").alias("n_capitals"),
-        F.size(F.array_intersect(_letters(t), F.array(*[F.lit(w) for w in abusive]))).cast("bigint").alias("n_abusive"),
     ).select(
         "doc_id", "row_key", "stratum", *[F.col(f"w.{c}").cast("bigint").alias(c) for c in ("n_words", "n_repeat_words")],
-        *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("word_chars", "n_symbols")], "n_dup_lines", "n_breaks", "n_capitals", "n_abusive",
+        *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("word_chars", "n_symbols")], "n_dup_lines", "n_breaks", "n_capitals",
     )
 
 
@@ -132,7 +155,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def tail_at_most(k: Column, n: Column, p: float) -> Column:
+def tail_at_most(k: Column, n: Column, p: float | Column) -> Column:
     """Probability of k or fewer successes in n trials of chance p: the exact sum, by the ratio of neighbouring terms."""
     zero = F.struct((n * F.log(F.lit(1 - p))).alias("log"), F.exp(n * F.log(F.lit(1 - p))).alias("sum"))
 
@@ -181,7 +204,9 @@ def verdicts(stats: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Counts and verdict of every row of ``docs``."""
-    stats = materialize(statistics(docs, abusive=tuple(abusive_words(docs, labels))), "rule-stats")
+    found = materialize(abuse_counts(docs, abusive_words(docs, labels)), "abuse-counts")
+    stats = statistics(docs).join(_near(found), ["row_key", "stratum"], "left").fillna(0, ["n_abusive"])
+    stats = materialize(stats, "rule-stats")
     cuts = materialize(thresholds(stats, labels, **options), "rule-cutoffs")
     return verdicts(stats, cuts)
 
