@@ -72,6 +72,7 @@ both("not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FR
 both("in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 both("not_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 both("lateral_top", "SELECT c_custkey, t.o_orderkey FROM (SELECT * FROM customer WHERE c_custkey <= 200) c, LATERAL (SELECT max(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey = c_custkey) t")
+both("lateral_top_all", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT max(o_orderkey) AS o_orderkey FROM orders WHERE o_custkey = c_custkey) t")
 both("cte_shared", "WITH m AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT a.k, round(a.s, 2) AS s FROM m a WHERE a.s > (SELECT avg(s) FROM m)")
 both("values_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(id, name)")
 
@@ -80,6 +81,7 @@ both("values_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(i
 both("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
 both("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 180000")
 both("join_full", "SELECT a.k AS left_key, b.k AS right_key FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey % 3 = 0) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0) b ON a.k = b.k")
+both("join_full_all", "SELECT o_orderkey, c_custkey FROM orders FULL JOIN customer ON o_custkey = c_custkey AND o_totalprice < c_acctbal * 20")
 both("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 both("join_using", "SELECT k, x, y FROM (SELECT n_regionkey AS k, n_name AS x FROM nation) a JOIN (SELECT r_regionkey AS k, r_name AS y FROM region) b USING (k)")
 both("join_natural", "SELECT k, x, y FROM (SELECT n_regionkey AS k, n_name AS x FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name AS y FROM region) b")
@@ -192,6 +194,17 @@ both("set_precedence", "SELECT r_regionkey AS k FROM region UNION ALL SELECT n_r
 both("recursive_all", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
 
 
+@query("SELECT o_orderkey, nullif(o_custkey % 7, 3) AS k, row_number() OVER (ORDER BY nullif(o_custkey % 7, 3) NULLS FIRST, o_orderkey) AS place FROM orders")
+def nulls_order_all(spark, folder):
+    """Every row's place: its block's first place, and its place in the block."""
+    o = table(spark, folder, "orders").select("o_orderkey", F.nullif(F.col("o_custkey") % 7, F.lit(3)).alias("k"), F.floor(F.col("o_orderkey") / 65536).alias("block"))
+    before = Window.orderBy(F.asc_nulls_first("k"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = o.groupBy("k", "block").agg(F.count("*").alias("n")).select(F.col("k").alias("k2"), F.col("block").alias("block2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("k", "block").orderBy("o_orderkey"))
+    placed = o.withColumn("nth", within).join(starts, F.col("k").eqNullSafe(F.col("k2")) & (F.col("block") == F.col("block2")))
+    return placed.select("o_orderkey", "k", (F.col("start") + F.col("nth")).alias("place"))
+
+
 @query("WITH RECURSIVE t(k) AS (SELECT 1 UNION SELECT (k * 2) % 13 FROM t) SELECT k FROM t")
 def recursive_distinct(spark, folder):
     return ops.recursive_union(spark.sql("SELECT 1 AS k"), lambda t: t.select(((F.col("k") * 2) % 13).alias("k")))
