@@ -148,17 +148,17 @@ def _texts(docs: DataFrame, text: str, id: str) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, n, node) of every row."""
-    rows = _texts(docs, text, id)
+    """(id, n, node, row_key) of every row."""
+    rows = _texts(docs, text, id).withColumn("row_key", F.xxhash64("id", "text"))
 
     def run(batches):
         for batch in batches:
             for a, data, offsets in chunks(batch.column("text"), 1 << 20):
                 h, first = shingles(data, offsets)
                 n = len(offsets) - 1
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, n), pa.array(np.diff(first)), pa.array(fingerprints(h, first))], ["id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, n), pa.array(np.diff(first)), pa.array(fingerprints(h, first)), batch.column("row_key").slice(a, n)], ["id", "n", "node", "row_key"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, node bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, node bigint, row_key bigint")
 
 
 def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -387,8 +387,8 @@ def rest_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> Data
     return rows.select("key", "node", "n", "root", "big", "data").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``."""
+def _rooted(docs: DataFrame, text: str, id: str) -> DataFrame:
+    """(id, n, node, row_key, root) of every row of ``docs``; rows without words have no root."""
     rows = materialize(sets_of(docs, text, id), "sets")
     found = materialize(candidate_groups(docs, text, id), "candidates")
     pairs = materialize(found.where("kind = 0").select("a", "b").distinct(), "pairs")
@@ -401,7 +401,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id")
     if not more.isEmpty():
         links = links.union(_verified(docs, rows, more, text, id))
         roots = components(links)
-    own = rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+    return rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(id, n_shingles, component_id) of every row of ``docs``."""
+    own = _rooted(docs, text, id)
     first = own.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     out = own.join(first, "root", "left")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
@@ -415,9 +420,11 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, text: str, id:
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that have their component's smallest id; of rows that share it, one. Rows with a null id stay."""
-    found = materialize(jaccard_components(docs, text, id), "components")
-    kept = drop_rows(docs, found.where(F.col(id) != F.col("component_id")).select(F.xxhash64(id)), id)
-    if found.where(F.col(id).isNotNull()).groupBy(id).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    """One row of each component of ``docs``: that of the smallest id (nulls last). Of rows without words that agree in id and text, one stays."""
+    own = materialize(_rooted(docs, text, id).select("id", "row_key", "root"), "components")
+    own = own.withColumn("alone", F.when(F.col("root").isNull(), F.col("row_key")))
+    first = own.groupBy("root", "alone").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))["row_key"].alias("row_key"))
+    kept = drop_rows(docs, own.select("row_key").join(first, "row_key", "left_anti"), id, text)
+    if own.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept
-    return kept.where(F.col(id).isNotNull()).dropDuplicates([id]).union(kept.where(F.col(id).isNull()))
+    return kept.withColumn("__key", F.xxhash64(id, text)).dropDuplicates(["__key"]).drop("__key")
