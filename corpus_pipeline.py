@@ -57,7 +57,7 @@ STAGES = [
     ("token-ID / binary output", token_files),
 ]
 
-#: The tokenizer of the last stage has no SQL form; tests hold run() against a plain version.
+#: The tokenizer of the last stage has no SQL form. Tests hold the single operators against plain versions; none runs run().
 ORACLE_SQL = None
 
 
