@@ -130,6 +130,7 @@ both("cube", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM linei
 both("percentile_disc", "SELECT l_returnflag, percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity) AS p25, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity) AS p50 FROM lineitem GROUP BY l_returnflag")
 both("percentile_cont", "SELECT l_returnflag, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS p50 FROM lineitem GROUP BY l_returnflag")
 both("mode_ordered_set", "SELECT o_orderstatus, count(*) AS n, min(o_orderdate) AS first_day, max(o_orderdate) AS last_day FROM orders GROUP BY o_orderstatus")
+both("mode_lowest", "SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS usual FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, min(o_orderpriority) AS usual FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(count(*)) OVER (PARTITION BY o_orderstatus) AS most FROM orders GROUP BY 1, 2) WHERE n = most GROUP BY 1")
 both("hypothetical_rank", "SELECT l_returnflag, sum(CASE WHEN l_quantity < 25 THEN 1 ELSE 0 END) + 1 AS rank_of_25 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(CASE WHEN l_quantity < 25 THEN 1 ELSE 0 END) AS BIGINT) + 1 AS rank_of_25 FROM lineitem GROUP BY l_returnflag")
 
 
@@ -216,6 +217,12 @@ def connect_by(spark, folder):
     return ops.connect_by(p, "k", "p", 1, depth=3)
 
 
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS k, p_partkey // 3 AS p FROM part), t(key, parent, level, branch) AS (SELECT k, CAST(NULL AS BIGINT), 0, CAST(k AS VARCHAR) FROM e WHERE k = 1 UNION ALL SELECT k, p, level + 1, branch || '~' || k FROM t JOIN e ON p = key AND k <> p) SELECT * FROM t")
+def connect_by_all(spark, folder):
+    p = table(spark, folder, "part").selectExpr("p_partkey AS k", "p_partkey div 3 AS p")
+    return ops.connect_by(p, "k", "p", 1)
+
+
 # Sources, samples, rows from arrays, changes
 
 
