@@ -53,7 +53,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of materialized tables that nothing still to be run reads."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            remove(t.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -24,14 +24,18 @@ null: each row gets the smallest id of its component (null if all are null).
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, drop_rows, gather, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
+from .common import UNKNOWN, chunks, discard, drop_rows, gather, input_bytes, lower_ascii, materialize, mix64, ranges, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
 
-WIDTH, SMALL, SKETCH_WORDS = 5, 12, 16
+WIDTH, SMALL, LEAST_BITS = 5, 12, 256
+#: Members of a key's group that are held at once when they are compared with one another.
+BLOCK = 2048
 #: Bytes of id hashes that may be broadcast; beyond that, texts are joined by a shuffle.
 BROADCAST = 32 << 20
 
@@ -134,12 +138,49 @@ def keys_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_key), np.concatenate(out_row)
 
 
-def dense(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity sketches of SKETCH_WORDS * 64 bits, as bytes [rows, 8 * SKETCH_WORDS]."""
-    rows, bits = len(first) - 1, SKETCH_WORDS * 64
-    spot = (mix64(h ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)) % np.uint64(bits)
-    odd = np.bincount(np.repeat(np.arange(rows), np.diff(first)) * bits + spot.astype(np.int64), minlength=rows * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1)
+def dense(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the sets' parity sketches: a power of two of bits, twice to four times the set's size."""
+    size = np.diff(first)
+    bits = np.maximum(LEAST_BITS, np.int64(1) << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    row = np.repeat(np.arange(len(size)), size)
+    spot = (mix64(h ^ np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(20)).astype(np.int64) & (bits - 1)[row]
+    at, times = np.unique(spot + (ends - bits)[row], return_counts=True)
+    odd = np.zeros(int(bits.sum()), np.uint8)
+    odd[at[times % 2 == 1]] = 1
+    return np.packbits(odd), np.append(0, ends) // 8
+
+
+class Sketches:
+    """Parity sketches of different lengths; a longer one is folded (its halves joined by XOR) to meet a shorter one."""
+
+    def __init__(self, blobs: list[bytes]) -> None:
+        self.size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        self.place = np.zeros(len(blobs), np.int64)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        for s in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == s)
+            self.place[own] = np.arange(len(own))
+            self.held[s, s] = np.frombuffer(b"".join([blobs[i] for i in own]), np.uint64).reshape(-1, s // 8)
+
+    def _folded(self, own: int, to: int) -> np.ndarray:
+        if (own, to) not in self.held:
+            x = self._folded(own, 2 * to)
+            self.held[own, to] = x[:, : to // 8] ^ x[:, to // 8 :]
+        return self.held[own, to]
+
+    def apart(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Bits in which sketches p[i] and q[i] differ."""
+        out = np.zeros(len(p), np.int64)
+        sp, sq = self.size[p], self.size[q]
+        for x, y in np.unique(np.stack([sp, sq], 1), axis=0).tolist() if len(p) else []:
+            own, to = np.flatnonzero((sp == x) & (sq == y)), min(x, y)
+            a, b = self._folded(x, to), self._folded(y, to)
+            step = max(1, (4 << 20) // to)
+            for k in range(0, len(own), step):
+                i = own[k : k + step]
+                out[i] = np.bitwise_count(a[self.place[p[i]]] ^ b[self.place[q[i]]]).sum(-1, dtype=np.int64)
+        return out
 
 
 def _texts(docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -161,24 +202,53 @@ def sets_of(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, node bigint, row_key bigint")
 
 
-def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+def _keyed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, size) of the sets of consecutive texts; equal sets send their keys once."""
+    h, first = shingles(data, offsets)
+    node = fingerprints(h, first)
+    _, at = np.unique(node, return_index=True)
+    once = np.zeros(len(node), bool)
+    once[at] = True
+    once &= np.diff(first) > 0
+    sizes = np.where(once, np.diff(first), 0)
+    key, row = keys_of(h[np.repeat(once, np.diff(first))], np.concatenate([[0], np.cumsum(sizes)]))
+    return key, node[row], sizes[row].astype(np.int32)
+
+
+def hot_keys(rows: DataFrame, sample_bytes: int = 16 << 20, least: int = 8) -> np.ndarray:
+    """Sorted join keys that ``least`` or more different sets of a sample of about ``sample_bytes`` have.
+
+    Their groups are dealt over all buckets. Which keys are found changes where
+    sets meet, not what is found.
+    """
+    size = input_bytes(rows)
+    m = max(1, size // sample_bytes) if size < UNKNOWN else 1
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in chunks(batch.column("text"), 1 << 20):
+                key, node, _ = _keyed(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node)], ["key", "node"])
+
+    got = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(m)) == 0).select("text").mapInArrow(run, "key bigint, node bigint").distinct().groupBy("key").count().where(F.col("count") >= least).select("key").toArrow()
+    return np.sort(got.column("key").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", hot: np.ndarray | None = None) -> DataFrame:
     """(kind, key, a, b): kind 0 pairs to compare; kind 1 members (a) of large groups (key)."""
     rows = _texts(docs, text, id)
     parts = shuffle_partitions(rows, 18.0)
+    shared = rows.sparkSession.sparkContext.broadcast(hot_keys(rows) if hot is None else hot)
+
+    def among(hot: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
 
     def keyed(batches):
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text"), 1 << 20):
-                h, first = shingles(data, offsets)
-                node = fingerprints(h, first)
-                _, at = np.unique(node, return_index=True)  # equal sets of a batch send their keys once
-                once = np.zeros(len(node), bool)
-                once[at] = True
-                once &= np.diff(first) > 0
-                keep = np.repeat(once, np.diff(first))
-                sizes = np.where(once, np.diff(first), 0)
-                key, row = keys_of(h[keep], np.concatenate([[0], np.cumsum(sizes)]))
-                yield scatter((key % np.uint64(parts)).astype(np.int64), {"key": key, "node": node[row], "n": sizes[row].astype(np.int32)})
+                key, node, n = _keyed(data, offsets)
+                dealt = np.where(among(shared.value, key), key ^ mix64(node.view(np.uint64)), key)
+                yield scatter((dealt % np.uint64(parts)).astype(np.int64), {"key": key, "node": node, "n": n})
         trim()
 
     def grouped(batches):
@@ -192,7 +262,7 @@ def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         size = np.diff(np.append(head, len(key)))
         at = np.repeat(head, size)
-        many = np.repeat(size, size)
+        many = np.where(np.repeat(among(shared.value, key[head]), size), 1 << 40, np.repeat(size, size))  # of hot keys, the others may be elsewhere
         fits = lambda x, y: (4 * np.minimum(n[x], n[y]).astype(np.int64) >= 3 * np.maximum(n[x], n[y]).astype(np.int64)) & (node[x] != node[y])
         pairs = []
         for step in range(1, SMALL):  # all pairs of small groups
@@ -211,7 +281,7 @@ def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
         del key, node, n, new, head, size, at, many, pairs, large, x
         trim()
 
-    return rows.mapInArrow(keyed, scattered(["key", "node", "n"])).repartition(parts, "bucket").mapInArrow(grouped, "kind int, key bigint, a bigint, b bigint")
+    return rows.select("text").mapInArrow(keyed, scattered(["key", "node", "n"])).repartition(parts, "bucket").mapInArrow(grouped, "kind int, key bigint, a bigint, b bigint")
 
 
 def node_data(docs: DataFrame, rows: DataFrame, wanted: DataFrame, whole: bool, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -227,20 +297,17 @@ def node_data(docs: DataFrame, rows: DataFrame, wanted: DataFrame, whole: bool,
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text"), 1 << 20):
                 h, first = shingles(data, offsets)
-                node = fingerprints(h, first)
+                node, n = fingerprints(h, first), np.diff(first)
                 _, at = np.unique(node, return_index=True)
-                if whole:
-                    n, bounds = np.diff(first), (first * 8).astype(np.int32)
-                    blob = pa.Array.from_buffers(pa.binary(), len(node), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(h.tobytes())])
-                else:
-                    n, d = np.diff(first), dense(h, first)
-                    bounds = (np.arange(len(node) + 1) * d.shape[1]).astype(np.int32)
-                    blob = pa.Array.from_buffers(pa.binary(), len(node), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(d.tobytes())])
+                held, bounds = (h, first * 8) if whole else dense(h, first)
+                blob = pa.Array.from_buffers(pa.large_binary(), len(node), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(held.tobytes())]).cast(pa.binary())
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array(node).take(take), pa.array(n).take(take), blob.take(take)], ["node", "n", "data"])
 
     out = texts.mapInArrow(run, "node bigint, n bigint, data binary")
-    return out.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    out = materialize(out.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "whole-sets" if whole else "sketches")
+    discard(ids)
+    return out
 
 
 def _joined(pairs: DataFrame, data: DataFrame) -> DataFrame:
@@ -249,20 +316,15 @@ def _joined(pairs: DataFrame, data: DataFrame) -> DataFrame:
     return pairs.hint("merge").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "na", "nb", "da", "db")
 
 
-def _possible(na, nb, da, db):
-    """Pairs whose dense sketches differ in no more bits than a link's sets may differ in shingles."""
-    apart = np.bitwise_count(da ^ db).sum(-1, dtype=np.int64)
-    return 7 * apart <= na + nb
-
-
 def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs that pass the test of dense sketches."""
+    """Pairs whose sketches differ in no more bits than a link's sets may differ in shingles."""
 
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            da, db = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for c in ("da", "db"))
-            yield batch.select(["a", "b"]).filter(pa.array(_possible(na, nb, da, db)))
+            both = Sketches(batch.column("da").to_pylist() + batch.column("db").to_pylist())
+            at = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(7 * both.apart(at, at + batch.num_rows) <= na + nb))
 
     return _joined(pairs, sketches).mapInArrow(run, "a bigint, b bigint")
 
@@ -283,42 +345,61 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _joined(pairs, sets).mapInArrow(run, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of an edge (a, b): alternating large and small stars, each round written out."""
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of the nodes of edges (a, b) that are not the smallest themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        p, q = low[x], low[y]
+        open_ = p != q
+        if not open_.any():
+            break
+        x, y = x[open_], y[open_]
+        np.minimum.at(low, np.maximum(p, q)[open_], np.minimum(p, q)[open_])
+        while not np.array_equal(low, deeper := low[low]):
+            low = deeper
+    below = np.flatnonzero(low < np.arange(len(nodes)))
+    return nodes[below], nodes[low[below]]
+
+
+def components(edges: DataFrame, one_task: int = 1 << 20) -> DataFrame:
+    """(node, root) of every node of an edge (a, b).
+
+    Each partition reduces its edges to stars. If no more than ``one_task`` edges
+    are left, one task ends the work; else large and small stars alternate, each
+    round written out.
+    """
 
     def local(batches):
-        """Edges of a partition, reduced to stars of their own components."""
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = find(a), find(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        rows = [(x, find(x)) for x in list(parent) if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        node, root = stars(*(np.concatenate(v) for v in zip(*held))) if held else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], ["a", "b"])
 
     kind = "a bigint, b bigint"
     ready(edges.sparkSession)
     now = materialize(edges.select("a", "b").mapInArrow(local, kind).distinct(), "edges")  # a > b throughout
     before = None
     while True:
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before or state[0] <= one_task:
+            break
+        before = state
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        now = materialize(small, "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+        last, now = now, materialize(small, "edges")
+        discard(last)
+    if state[0] <= one_task:
+        now, last = now.coalesce(1).mapInArrow(local, kind), now
+    else:
+        last = None
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = materialize(out.union(out.select("root", "root").distinct()), "roots")
+    discard(last if last is not None else now)
+    return out
 
 
 def rest_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -329,102 +410,153 @@ def rest_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> Data
     left = materialize(members.join(big, "key").where("root != big"), "left")
     # members outside their group's largest component, against each other; groups of the same such members need one look
     seen = left.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("x != y")
-    inner = left.join(seen.dropDuplicates(["c", "who"]).select("key"), "key", "left_semi").select("key", "node", "n", "root", F.lit(None).cast("bigint").alias("big"))
+    seen = materialize(seen.dropDuplicates(["c", "who"]).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "rest-groups")
+    # every two blocks of a group's members meet under a key of their own
+    dealt = left.join(seen, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inner = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "n", "root", F.lit(None).cast("bigint").alias("big"))
     # and against the largest component: once for each component, whatever the number of keys, its members dealt over salts
     whole = members.select("node", "n", "root").distinct().join(left.select(F.col("big").alias("root")).distinct(), "root", "left_semi")
-    sizes = whole.groupBy("root").agg(F.ceil(F.count("*") / 4096).cast("int").alias("salts"))
+    sizes = materialize(whole.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts")), "rest-salts")
     ys = whole.join(sizes, "root").select(F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("key"), "node", "n", "root", F.col("root").alias("big"))
-    xs = left.select("node", "n", "root", "big").distinct().join(sizes.withColumnRenamed("root", "big"), "big").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    xs = xs.select(F.xxhash64("big", "salt").alias("key"), "node", "n", "root", "big")
+    xs = left.select("node", "n", "root", "big").distinct().join(sizes.withColumnRenamed("root", "big"), "big")
+    xs = xs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(F.xxhash64("big", "salt").alias("key"), "node", "n", "root", "big")
     rows = inner.unionByName(xs).unionByName(ys).join(sketches.select("node", "data").hint("merge"), "node")
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def flush(node, n, root, big, data):
-        data = np.frombuffer(b"".join(data), np.uint64).reshape(-1, SKETCH_WORDS)
-        node, n, root, big = np.array(node), np.array(n), np.array(root), big[0]
-        order = np.argsort(n, kind="stable")
-        node, n, root, data = node[order], n[order], root[order], data[order]
-        roots, of, size = np.unique(root, return_inverse=True, return_counts=True)
-        most = size.argmax() if big is None else np.searchsorted(roots, big)
-        left = np.flatnonzero(of != most)  # members of the largest component are compared with the others only
-        step = 256
-        for i in range(0, len(left), step):
-            x = left[i : i + step]
-            begin = int(np.searchsorted(n, 3 * n[x[0]] / 4, "left"))
-            end = int(np.searchsorted(n, 4 * n[x[-1]] / 3, "right"))
-            for j in range(begin, end, 2048):
-                y = slice(j, min(j + 2048, end))
-                ok = (root[x, None] != root[None, y] if big is None else (root[None, y] == big) & np.ones((len(x), 1), bool)) & (4 * np.minimum(n[x, None], n[None, y]) >= 3 * np.maximum(n[x, None], n[None, y]))
-                a, b = np.nonzero(ok)
-                for k in range(0, len(a), 1 << 18):
-                    p, q = x[a[k : k + (1 << 18)]], j + b[k : k + (1 << 18)]
-                    hit = _possible(n[p], n[q], data[p], data[q])
-                    p, q = node[p[hit]], node[q[hit]]
-                    yield np.minimum(p, q), np.maximum(p, q)
+    def compare(xs: list[tuple], ys: list[tuple], big: int | None):
+        """Pairs of two blocks (which may be the same) in different components, or with ``big`` given, with one in it."""
+        node, n, root = (np.array([r[k] for r in xs + ys], np.int64) for k in range(3))
+        held = Sketches([r[3] for r in xs + ys])
+        order = len(xs) + np.argsort(n[len(xs) :], kind="stable")
+        sizes = n[order]
+        low = np.searchsorted(sizes, 3 * n[: len(xs)] / 4, "left")
+        each = np.searchsorted(sizes, 4 * n[: len(xs)] / 3, "right") - low
+        ends = np.cumsum(each)
+        x = 0
+        while x < len(xs):  # some 2^18 pairs at a time
+            to = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + (1 << 18), "right")))
+            i, j = np.repeat(np.arange(x, to), each[x:to]), order[ranges(low[x:to], each[x:to])]
+            ok = (root[i] != root[j]) & (node[i] < node[j]) if big is None else root[j] == big
+            i, j = i[ok], j[ok]
+            ok = 7 * held.apart(i, j) <= n[i] + n[j]
+            i, j = node[i[ok]], node[j[ok]]
+            yield np.minimum(i, j), np.maximum(i, j)
+            x = to
 
     def run(batches):
-        key, held = None, ([], [], [], [], [])
+        """A key's rows come in order: for ``big``, its members first. They are held; the others pass by in blocks."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def emit():
-            for a, b in flush(*held):
-                out.append((a, b))
-            p = np.unique(np.stack([np.concatenate(v) for v in zip(*out)], 1), axis=0) if out else np.zeros((0, 2), np.int64)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "root", "big", "data"))):
-                if k != key:
-                    if held[0]:
-                        yield emit()
-                    key, held = k, ([], [], [], [], [])
-                for store, v in zip(held, row):
-                    store.append(v)
-        if held[0]:
-            yield emit()
-
-    return rows.select("key", "node", "n", "root", "big", "data").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+        def emit(least: int):
+            if sum(len(a) for a, _ in out) > least:
+                p = np.unique(np.stack([np.concatenate(v) for v in zip(*out)], 1), axis=0)
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
+        def rows_of():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("key", "big", "own", "node", "n", "root", "data")))
+
+        for (_, big), group in groupby(rows_of(), key=lambda r: r[:2]):
+            if big is None:
+                whole = [r[3:] for r in group]
+                out.extend(compare(whole, whole, None))
+            else:
+                held, wait = [], []
+                for r in group:
+                    (held if r[2] else wait).append(r[3:])
+                    if len(wait) >= BLOCK:
+                        out.extend(compare(wait, held, big))
+                        wait = []
+                        yield from emit(1 << 18)
+                if wait:
+                    out.extend(compare(wait, held, big))
+            yield from emit(1 << 18)
+        yield from emit(0)
+
+    rows = rows.select("key", "big", F.coalesce(F.col("root") == F.col("big"), F.lit(False)).alias("own"), "node", "n", "root", "data")
+    found = rows.repartition(parts, "key").sortWithinPartitions("key", "big", F.desc("own")).mapInArrow(run, "a bigint, b bigint").distinct()
+    found = materialize(found, "rest")
+    discard(left, seen, sizes)
+    return found
+
+
+def _cross(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, links: DataFrame | None, text: str, id: str) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) after the near ``pairs`` (a < b) are taken in: pairs that other links join already are not compared.
+
+    First each node meets its smallest neighbour; then all pairs that are still
+    between components are compared.
+    """
+    roots = None if links is None else components(links)
+    cross = None
+    for last in (False, True):
+        if roots is not None:
+            pairs = cross = materialize(_cross(pairs, roots), "cross")
+            if pairs.isEmpty():
+                break
+        ask = materialize(pairs if last else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "asked")
+        nodes = ask.select(F.col("a").alias("node")).union(ask.select(F.col("b").alias("node"))).distinct()
+        sets = node_data(docs, rows, nodes, True, text, id)
+        found = linked(ask, sets)
+        before, links = links, materialize(found if links is None else found.union(links), "links")
+        discard(ask, sets, before, roots)
+        roots = components(links)
+    discard(cross)
+    return links, roots
 
 
-def _rooted(docs: DataFrame, text: str, id: str) -> DataFrame:
-    """(id, n, node, row_key, root) of every row of ``docs``; rows without words have no root."""
+def _rooted(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
+    """((id, n, node, row_key) of every row of ``docs``, (node, root) of every node with links)."""
     rows = materialize(sets_of(docs, text, id), "sets")
     found = materialize(candidate_groups(docs, text, id), "candidates")
     pairs = materialize(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     groups = found.where("kind = 1")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(groups.select(F.col("a").alias("node"))).distinct()
-    sketches = materialize(node_data(docs, rows, nodes, False, text, id), "sketches")
-    links = _verified(docs, rows, near(pairs, sketches), text, id)
-    roots = components(links)
-    more = materialize(rest_pairs(groups, roots, sketches), "rest")
+    sketches = node_data(docs, rows, nodes, False, text, id)
+    close = materialize(near(pairs, sketches), "near")
+    discard(pairs)
+    links, roots = _linked(docs, rows, close, None, text, id)
+    discard(close)
+    more = rest_pairs(groups, roots, sketches)
+    discard(found, sketches)
     if not more.isEmpty():
-        links = links.union(_verified(docs, rows, more, text, id))
-        roots = components(links)
-    return rows.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+        links, roots = _linked(docs, rows, more, links, text, id)
+    discard(more, links)
+    return rows, roots
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
-    own = _rooted(docs, text, id)
-    first = own.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
-    out = own.join(first, "root", "left")
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-
-
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, text: str, id: str) -> DataFrame:
-    pairs = materialize(pairs, "near")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(node_data(docs, rows, nodes, True, text, id), "whole-sets")
-    return materialize(linked(pairs, sets), "links")
+    rows, roots = _rooted(docs, text, id)
+    full = rows.where("n > 0")
+    first = materialize(full.groupBy("node").agg(F.min("id").alias("first")), "node-ids")
+    lowest = materialize(first.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
+    linked_ids = materialize(roots.join(lowest, "root").select("node", "component_id"), "linked-ids")
+    of_node = materialize(first.join(linked_ids, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")), "node-components")
+    discard(first, lowest, linked_ids, roots)
+    # both sides are tables: a node that many rows have is split when they meet
+    out = full.join(of_node, "node", "left").select("id", "n", "component_id").union(rows.where("n = 0").select("id", "n", "id"))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row of each component of ``docs``: that of the smallest id (nulls last). Of rows without words that agree in id and text, one stays."""
-    own = materialize(_rooted(docs, text, id).select("id", "row_key", "root"), "components")
-    own = own.withColumn("alone", F.when(F.col("root").isNull(), F.col("row_key")))
-    first = own.groupBy("root", "alone").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))["row_key"].alias("row_key"))
-    kept = drop_rows(docs, own.select("row_key").join(first, "row_key", "left_anti"), id, text)
-    if own.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    rows, roots = _rooted(docs, text, id)
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))
+    by_node = materialize(rows.where("n > 0").groupBy("node").agg(best.alias("x")), "node-rows")
+    linked_to = by_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("x").alias("x"))
+    stay = materialize(linked_to.select("x.row_key").union(rows.where("n = 0").select("row_key")).distinct(), "kept-rows")
+    copies = rows.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    kept = drop_rows(docs, rows.select("row_key").distinct().join(stay, "row_key", "left_anti"), id, text)
+    discard(rows, roots, by_node, stay)
+    if copies:
         return kept
     return kept.withColumn("__key", F.xxhash64(id, text)).dropDuplicates(["__key"]).drop("__key")
