@@ -1,16 +1,19 @@
 """Quality rules whose cutoffs are chosen from labelled documents under a risk limit.
 
 Statistics, counts, bounds and verdicts are DataFrame expressions throughout.
-For each rule (a statistic that is large in bad texts) and stratum (language),
-cutoffs are tried from the mildest to the strictest. With k of n good labelled
-documents above a cutoff, it is certified if seeing k or fewer would have
-probability at most delta / (rules * strata) were the true false-rejection rate
-``risk / rules`` (the exact binomial tail). The first that fails ends the
-sequence, so no more correction is needed within it; all certified cutoffs hold
-together with probability 1 - delta, and a stratum's rules reject at most
-``risk`` of its good documents in all. Of the certified, that is taken which
-rejects most bad documents less ``price`` times the good ones. A rule without a
-certified cutoff is off in that stratum.
+A rule is a statistic that is large in bad texts; a step is a rule at one of its
+cutoffs. In each stratum (language) one half of the labelled texts puts the
+steps in order, those with the fewest good texts for each bad one first, and
+finds the words that mark toxic texts. The other half tests the sequence: with k
+of n good texts rejected by the first i steps together, these are certified if
+seeing k or fewer would have probability at most delta / strata were the true
+false-rejection rate ``risk`` (the exact binomial tail). The first that fails
+ends the sequence, so no more correction is needed within a stratum, and all that
+is certified holds together with probability 1 - delta. Of the certified, as many
+steps are taken as reject most bad texts less ``price`` times the good ones.
+About log(strata / delta) / risk good texts (80 to 110) have to be in a stratum's
+testing half; with fewer its rules are off. Texts that are equal are one trial,
+however often they are there, and are in one half only.
 
 Null texts have no words and fail the base rule. Null strata are one stratum.
 Labels that are null are left out; of several for an id, the worst counts.
@@ -24,13 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop_rows, materialize, words_of
+from .common import drop_rows, materialize, words_of
 
 SPACE_CLASS = " \t\n\x0b\f\r"
 #: The symbols that count as such.
 SYMBOLS = "#*$%&|<>"
-#: English insults; more words are learned from labels for each stratum (see abusive_words).
-ABUSIVE = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "imbecile", "jerk", "dumb", "filthy", "vermin", "coward")
 #: By rule, the cutoffs from mild to strict.
 CUTOFFS = {
     "symbols": (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05),
@@ -39,8 +40,6 @@ CUTOFFS = {
     "repeats": (0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
     "abuse": (20.0, 15.0, 12.0, 10.0, 8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0, 0.0),
 }
-#: Rules that learn from one half of the labels and are tested on the other.
-LEARNED = ("abuse",)
 #: Bytes of labels, or of words, that may be broadcast; more are joined by a shuffle.
 BROADCAST = 32 << 20
 
@@ -78,8 +77,17 @@ def _letters(text: Column) -> Column:
     return F.split(F.lower(text), "[^\\p{L}]+")
 
 
-def _learns(id: str = "doc_id") -> Column:
-    return crc_mod(id, 2) == 0
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _row_key(id: str, text: str, stratum: str) -> Column:
+    return F.xxhash64(id, text, stratum)
+
+
+def _learns(text_key) -> Column:
+    """Whether a text is of the half that learns."""
+    return F.pmod(text_key, F.lit(2)) == 0
 
 
 def _near(df: DataFrame) -> DataFrame:
@@ -100,9 +108,9 @@ def abusive_words(docs: DataFrame, labels: DataFrame, stratum: str = "lang", lev
     the number of words tested. Few toxic or few other documents thus mark no
     word. Documents of the same words in the same order of first use count once.
     """
-    own = labels.where(F.col("toxic").isin(0, 1) & _learns()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
+    own = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("toxic"))
     own = materialize(own, "toxic-labels")
-    rows = docs.join(_near(own), F.col("doc_id") == F.col("__id")).select(_stratum(stratum), "toxic", F.array_distinct(_letters(F.coalesce(F.col("text"), F.lit("")))).alias("words"))
+    rows = docs.where(_learns(_text_key("text"))).join(_near(own), F.col("doc_id") == F.col("__id")).select(_stratum(stratum), "toxic", F.array_distinct(_letters(F.coalesce(F.col("text"), F.lit("")))).alias("words"))
     texts = rows.groupBy("stratum", F.xxhash64("words").alias("text")).agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
     texts = materialize(texts, "labelled-words")
     each = texts.select("stratum", "toxic", F.explode("words").alias("word")).where(F.length("word") > 2)
@@ -116,10 +124,10 @@ def abusive_words(docs: DataFrame, labels: DataFrame, stratum: str = "lang", lev
     return materialize(counts.join(_near(totals), "stratum").where(chance * F.col("tested") <= level).select("stratum", "word"), "abusive-words")
 
 
-def abuse_counts(docs: DataFrame, learned: DataFrame, known: tuple[str, ...] = ABUSIVE, text: str = "text", id: str = "doc_id", stratum: str = "lang") -> DataFrame:
-    """(row_key, stratum, n_abusive) of the rows with words that are ``known`` or ``learned`` in their stratum."""
-    each = docs.select(F.xxhash64(id, text).alias("row_key"), _stratum(stratum), F.explode(F.array_distinct(_letters(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
-    hits = each.join(_near(learned).withColumn("learned", F.lit(True)), ["stratum", "word"], "left").where(F.col("learned") | F.col("word").isin(*known))
+def abuse_counts(docs: DataFrame, learned: DataFrame, text: str = "text", id: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """(row_key, stratum, n_abusive) of the rows with words that are ``learned`` in their stratum."""
+    each = docs.select(_row_key(id, text, stratum).alias("row_key"), _stratum(stratum), F.explode(F.array_distinct(_letters(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
+    hits = each.join(_near(learned), ["stratum", "word"])
     return hits.groupBy("row_key", "stratum").agg(F.size(F.collect_set("word")).cast("bigint").alias("n_abusive"))
 
 
@@ -132,10 +140,10 @@ def statistics(docs: DataFrame, text: str = "text", id: str = "doc_id", stratum:
     of_bare = _let(bare, lambda b: F.struct(F.length(b).alias("word_chars"), (F.length(b) - F.length(F.translate(b, SYMBOLS, ""))).alias("n_symbols")))
     dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return docs.select(
-        F.col(id).alias("doc_id"), F.xxhash64(id, text).alias("row_key"), _stratum(stratum), of_words.alias("w"), of_bare.alias("b"), dup.cast("bigint").alias("n_dup_lines"),
+        F.col(id).alias("doc_id"), _row_key(id, text, stratum).alias("row_key"), _text_key(text).alias("text_key"), _stratum(stratum), of_words.alias("w"), of_bare.alias("b"), dup.cast("bigint").alias("n_dup_lines"),
         F.regexp_count(t, F.lit("\n")).cast("bigint").alias("n_breaks"), F.regexp_count(t, F.lit("\\p{Lu}")).cast("bigint").alias("n_capitals"),
     ).select(
-        "doc_id", "row_key", "stratum", *[F.col(f"w.{c}").cast("bigint").alias(c) for c in ("n_words", "n_repeat_words")],
+        "doc_id", "row_key", "text_key", "stratum", *[F.col(f"w.{c}").cast("bigint").alias(c) for c in ("n_words", "n_repeat_words")],
         *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("word_chars", "n_symbols")], "n_dup_lines", "n_breaks", "n_capitals",
     )
 
@@ -167,29 +175,32 @@ def tail_at_most(k: Column, n: Column, p: float | Column) -> Column:
 
 
 def thresholds(stats: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, price: float = 4.0) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_false): the chosen cutoff of each rule that is on."""
+    """(stratum, rule, cutoff, n_good, n_false): the strictest cutoff of each rule that is on; the counts are those of a stratum's rules together."""
     own = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("bigint")
-    held = stats.where(~base_failed()).join(own, "doc_id").withColumn("good", good)
-    level = lambda v, cuts: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v))  # noqa: E731  the strictest levels lie at the high end
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(v, CUTOFFS[r]).alias("above")) for r, v in rule_values().items()]))
-    tested = ~F.col("rule").isin(*LEARNED) | ~F.col("learned")
-    seen = held.select("stratum", "good", _learns().alias("learned"), each.alias("r")).select("stratum", "good", "learned", "r.*").where(tested).groupBy("stratum", "rule", "above").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     # cutoffs are in falling order: those below a value are the last ``above`` of the list, so cutoff i rejects values with above >= size - i
+    level = lambda v, cuts: F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < v))
+    held = stats.where(~base_failed()).join(own, "doc_id").groupBy("stratum", "text_key").agg(F.min(good).alias("good"), *[F.max(level(v, CUTOFFS[r])).alias(r) for r, v in rule_values().items()])
+    held = materialize(held.withColumn("learned", _learns(F.col("text_key"))), "rule-trials")
+    each = held.select("stratum", "text_key", "good", "learned", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("above")) for r in CUTOFFS])).alias("r")).select("stratum", "text_key", "good", "learned", "r.*").where("above > 0")
     grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("nth"), F.lit(c).alias("cutoff"), F.lit(len(cuts) - i).alias("needs")) for r, cuts in CUTOFFS.items() for i, c in enumerate(cuts)]))
-    tries = seen.select("stratum").distinct().select("stratum", grid.alias("g")).select("stratum", "g.*")
-    counted = tries.alias("t").join(seen.alias("s"), ["stratum", "rule"]).groupBy("stratum", "rule", "nth", "cutoff").agg(
-        F.sum("good").alias("n_good"), F.sum(F.when(F.col("above") >= F.col("needs"), F.col("good")).otherwise(0)).alias("n_false"), F.sum(F.when(F.col("above") >= F.col("needs"), F.col("bad")).otherwise(0)).alias("n_caught"))
-    rules = len(CUTOFFS)
-    strata = F.size(F.collect_set("stratum").over(Window.partitionBy()))
-    p = risk / rules
-    hopeless = (F.col("n_good") == 0) | (F.col("n_false") >= p * F.col("n_good"))
-    tested = counted.withColumn("level", F.lit(delta) / (rules * strata)).withColumn("passed", ~hopeless & (F.when(hopeless, 1.0).otherwise(tail_at_most(F.col("n_false"), F.col("n_good"), p)) <= F.col("level")))
-    order = Window.partitionBy("stratum", "rule").orderBy("nth")
-    certified = tested.withColumn("certified", F.min(F.col("passed").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1).where("certified")
+    seen = each.where("learned").groupBy("stratum", "rule", "above").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    steps = seen.select("stratum").distinct().select("stratum", grid.alias("g")).select("stratum", "g.*").join(seen, ["stratum", "rule"]).where("above >= needs")
+    steps = steps.groupBy("stratum", "rule", "nth", "cutoff", "needs").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(F.col("bad") > price * F.col("good"))
+    order = Window.partitionBy("stratum").orderBy((F.col("good") + 0.5) / (F.col("bad") + 1), "rule", "nth")  # as many rows as there are cutoffs
+    steps = materialize(steps.select("stratum", "rule", "cutoff", "needs", F.row_number().over(order).alias("seq")), "rule-steps")
+    first = each.where(~F.col("learned")).join(F.broadcast(steps), ["stratum", "rule"]).where("above >= needs").groupBy("stratum", "text_key").agg(F.min("seq").alias("seq"), F.min("good").alias("good"))
+    counts = first.groupBy("stratum", "seq").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    sizes = held.groupBy("stratum").agg(F.sum(F.when(~F.col("learned"), F.col("good")).otherwise(0)).alias("n_good")).withColumn("strata", F.count("*").over(Window.partitionBy()))
+    so_far = Window.partitionBy("stratum").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(so_far)
+    tried = steps.select("stratum", "seq").join(counts, ["stratum", "seq"], "left").select("stratum", "seq", total("good").alias("n_false"), total("bad").alias("n_caught")).join(sizes, "stratum")
+    hopeless = (F.col("n_good") == 0) | (F.col("n_false") >= risk * F.col("n_good"))
+    passed = F.when(hopeless, False).otherwise(tail_at_most(F.col("n_false"), F.col("n_good"), risk) <= F.lit(delta) / F.col("strata"))
+    certified = tried.withColumn("passed", passed).withColumn("certified", F.min(F.col("passed").cast("int")).over(so_far) == 1).where("certified")
     gain = F.col("n_caught") - price * F.col("n_false")
-    best = certified.withColumn("gain", gain).where("gain > 0").groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n_good", "n_false"), F.struct(F.col("gain"), -F.col("nth"))).alias("x"))
-    return best.select("stratum", "rule", "x.*")
+    best = certified.withColumn("gain", gain).where("gain > 0").groupBy("stratum").agg(F.max_by(F.struct("seq", "n_good", "n_false"), F.struct(F.col("gain"), -F.col("seq"))).alias("x")).select("stratum", F.col("x.seq").alias("until"), "x.n_good", "x.n_false")
+    return steps.join(best, "stratum").where("seq <= until").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"), F.first("n_good").alias("n_good"), F.first("n_false").alias("n_false"))
 
 
 def verdicts(stats: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -211,7 +222,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return verdicts(stats, cuts)
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, as they are."""
     out = quality_rules(docs, labels, **options)
-    return drop_rows(docs, out.where(~F.col("kept")).select("row_key"), id, text)
+    return drop_rows(docs, out.where(~F.col("kept")).select("row_key"), "doc_id", "text", "lang")
