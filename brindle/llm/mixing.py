@@ -1,9 +1,11 @@
 """Mixing sources to target weights, by blocks of a fixed number of words.
 
 The words of a source, its documents in id order, form one stream that is cut
-into blocks of ``block_words``. A source's target fixes its number of slots;
-each source's slots are dealt to the output shards by multinomial draws (draws
-of source counts per shard, given the totals that the targets fix). Slot j of a
+into blocks of ``block_words``. A source's target fixes its number of slots. Output
+shards all have ``shard_slots`` slots (their number is rounded to even sizes), and
+each draws its counts by source from the slots that are left: multinomial draws,
+given the totals that the targets fix. Shards are drawn in groups, among which
+every source's slots are divided evenly. Slot j of a
 source reads block ``perm(j mod blocks)``, a pseudorandom permutation of its
 block numbers that differs between passes, so a block is read at most once a
 pass and at most ``most`` times in all. Slots and blocks meet in an equi-join on
@@ -13,14 +15,15 @@ Everything follows from the seed: reruns agree. A null source is one of its own,
 last in order. Null and empty texts have no words and are never taken. Rows
 equal in id, source and text are separate documents. Documents longer than a
 block span several, short ones share one. An empty table gives an empty result.
-Extra columns are ignored, but for ``apply_mix``, which keeps them.
+Extra columns are ignored, whatever they are called, but for ``apply_mix``,
+which keeps them, each row its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, input_bytes, materialize, ready, shuffle_partitions, word_spans
@@ -30,10 +33,16 @@ WEIGHTS = (3, 1, 2)
 KEY = ["doc_id", "source", "text_hash"]
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, text_hash, copy, size) of every row: words of its whole text; copies count rows that are equal."""
+def _row_hash(docs: DataFrame, whole: bool) -> Column:
+    """Hash of a row's text, or of all that it holds."""
+    rest = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema if f.name != "text"]
+    return F.xxhash64("text", *rest) if whole else F.xxhash64("text")
+
+
+def sizes_of(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, source, text_hash, copy, size) of every row: words of its whole text; copies count rows that are equal (``whole``: in all columns)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("size"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), _row_hash(docs, whole).alias("text_hash"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("bigint").alias("size"))
     counted = rows.groupBy(*KEY, "size").agg(F.count("*").alias("copies"))
     return materialize(counted.select(*KEY, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "size"), "mix-sizes")
 
@@ -49,10 +58,11 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     names = Window.orderBy(F.col("source").asc_nulls_last())
     w = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(names) - 1) % len(weights) + 1))
     w = w.withColumns({"cap": F.col("source_size") * F.lit(float(most)), "all": F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share)), "weights": F.sum("weight").over(Window.partitionBy())})
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    filled = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    order = filled.rowsBetween(Window.unboundedPreceding, -1)
     left = (F.col("all") - F.coalesce(F.sum("cap").over(order), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
-    w = w.withColumn("level", left).withColumn("capped", F.col("cap") <= F.col("weight") * F.col("level"))
-    level = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(Window.partitionBy())["level"]
+    w = w.withColumn("level", left).withColumn("nth", F.row_number().over(filled)).withColumn("capped", F.col("cap") <= F.col("weight") * F.col("level"))
+    level = F.min(F.when(~F.col("capped"), F.struct("nth", "level"))).over(Window.partitionBy())["level"]
     return w.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
 
 
@@ -98,34 +108,33 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def slots_of(goals: DataFrame, block_words: int, shard_slots: int = 8192, seed: int = 0) -> DataFrame:
-    """(shard, slot, source, block, pass): which block each slot of each output shard reads."""
+def slots_of(goals: DataFrame, block_words: int, shard_slots: int = 8192, seed: int = 0, group: int = 4096) -> DataFrame:
+    """(shard, slot, source, block, pass): which block each slot of each output shard reads. ``group`` shards are drawn in one task."""
     spark = ready(goals.sparkSession)
     goals = goals.where("source_size > 0").withColumn("blocks", F.expr(f"(source_size + {block_words} - 1) div {block_words}"))
     goals = goals.withColumn("whole", F.floor(F.col("target") / F.col("source_size")))
     rest = F.round((F.col("target") - F.col("whole") * F.col("source_size")) / block_words)
-    goals = goals.withColumn("slots", (F.col("whole") * F.col("blocks") + F.least(rest, F.col("blocks"))).cast("bigint"))
-    goals = goals.withColumn("shards", F.expr(f"(sum(slots) over () + {shard_slots} - 1) div {shard_slots}"))
-    goals = goals.select("source", "blocks", "slots", "shards", F.xxhash64(F.lit(seed), F.col("source")).alias("key"))
-    group = 4096
+    goals = goals.withColumn("slots", (F.col("whole") * F.col("blocks") + F.least(rest, F.col("blocks"))).cast("bigint")).where("slots > 0")
+    goals = goals.withColumn("groups", F.expr(f"(sum(slots) over () + {shard_slots * group} - 1) div {shard_slots * group}"))
+    goals = goals.withColumn("key", F.xxhash64(F.lit(seed), F.col("source"))).withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)))
+    goals = goals.withColumn("first", F.expr("slots * g div groups")).withColumn("count", F.expr("slots * (g + 1) div groups") - F.col("first")).where("count > 0")
+    by_group = goals.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("source", "blocks", "key", "first", "count"))).alias("of"))  # an entry for each source
 
     def deal(batches):
         for batch in batches:
-            for source, blocks, slots, shards, key in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                rng = np.random.default_rng([seed, key & (1 << 63) - 1])
-                groups = -(-shards // group)
-                width = np.full(groups, group)
-                width[-1] = shards - group * (groups - 1)
-                at = 0
-                for g, n in enumerate(rng.multinomial(slots, width / shards)):
-                    counts = rng.multinomial(n, np.full(width[g], 1 / width[g]))
-                    first = at + np.cumsum(counts) - counts
-                    at += int(n)
-                    some = np.flatnonzero(counts)
-                    same = lambda v, t: pa.array([v] * len(some), t)
-                    yield pa.RecordBatch.from_arrays([same(source, pa.string()), same(blocks, pa.int64()), same(key, pa.int64()), pa.array(g * group + some, pa.int64()), pa.array(first[some], pa.int64()), pa.array(counts[some], pa.int64())], ["source", "blocks", "key", "shard", "first", "count"])
-
-    dealt = goals.mapInArrow(deal, "source string, blocks bigint, key bigint, shard bigint, first bigint, count bigint")
+            for g, of in zip(*(c.to_pylist() for c in batch.columns)):
+                rng = np.random.default_rng([seed, g])
+                names = pa.array([x["source"] for x in of], pa.string())
+                blocks, key, at, left = (np.array([x[c] for x in of], np.int64) for c in ("blocks", "key", "first", "count"))
+                shards = -(-int(left.sum()) // shard_slots)
+                size, more = divmod(int(left.sum()), shards)
+                for k in range(shards):
+                    drawn = rng.multivariate_hypergeometric(left, size + (k < more), method="marginals")
+                    some = np.flatnonzero(drawn)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), *(pa.array(v[some], pa.int64()) for v in (blocks, key, np.full(len(of), g * (group + 1) + k), at, drawn))], ["source", "blocks", "key", "shard", "first", "count"])
+                    at, left = at + drawn, left - drawn
+
+    dealt = by_group.mapInArrow(deal, "source string, blocks bigint, key bigint, shard bigint, first bigint, count bigint")
 
     def place(batches):
         for batch in batches:
@@ -173,11 +182,13 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     joined by a line end). ``n_chars``, if there, is the new length.
     """
     spark = ready(docs.sparkSession)
-    sizes = sizes_of(docs)
+    sizes = sizes_of(docs, whole=True)
     _, plan = mix(sizes, **options)
     spans = plan.groupBy(*KEY, "copy", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans"), F.first("size").alias("size"))
     names = docs.columns
-    rows = docs.withColumn("__text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__text_hash"])
+    rows = docs.withColumn("__text_hash", _row_hash(docs, True))
+    if not sizes.where("copy > 1").isEmpty():  # rows equal in all columns: one stands for all, the plan has their number
+        rows = rows.dropDuplicates(["doc_id", "source", "__text_hash"])
     on = [F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("d.source").cast("string").eqNullSafe(F.col("s.source")), F.col("d.__text_hash") == F.col("s.text_hash")]
     joined = rows.alias("d").join(spans.alias("s"), on).select(*[F.col(f"d.`{c}`") for c in names], F.col("s.spans.from").alias("__from"), F.col("s.spans.to").alias("__to"), F.col("s.size").alias("__size"))
 
