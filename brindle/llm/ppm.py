@@ -122,10 +122,11 @@ class Level:
         heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.zeros(0, np.int64)
         of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
         n, d = (np.add.reduceat(v, heads).astype(float) if len(key) else np.zeros(0) for v in (count, np.ones_like(count)))
-        self.key, self.log, self.kinds = key, np.log10(2.0 * count - 1).astype(np.float32), d
+        log = np.log10(2.0 * count - 1)
+        self.key, self.log, self.kinds = key, log.astype(np.float32), d
         self.count = count
         self.grams, self.contexts = Probed(key.astype(np.uint64)), Probed(context[heads].astype(np.uint64))
-        self.top = (self.log - np.log10(2 * n)[of]).astype(np.float32)
+        self.top = (log - np.log10(2 * n)[of]).astype(np.float32)  # exact to the last bits also near 0
         self.top_escape = np.log10(d / (2 * n))
         self.total = n
         if shorter is not None:  # escaped from a context here, the next order offers what this context has not seen
@@ -396,7 +397,7 @@ def rare_words(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, parts:
                 yield scatter(
                     np.concatenate([(h[heads] % np.uint64(parts)).astype(np.int64), (mix64(key[a + rows].view(np.uint64)) % np.uint64(parts)).astype(np.int64)]),
                     {"h": np.concatenate([h[heads], np.zeros(len(rows), np.uint64)]), "key": np.concatenate([key[a + doc[heads]], key[a + rows]]),
-                     "n": np.concatenate([times, known[rows]]).astype(np.int32), "extra": np.concatenate([np.where(train[a + doc[heads]], 1.0, 0.0), sums[rows]]).astype(np.float32)},
+                     "n": np.concatenate([times, known[rows]]).astype(np.int32), "extra": np.concatenate([np.where(train[a + doc[heads]], 1.0, 0.0), sums[rows]])},
                 )
         trim()
 
@@ -411,7 +412,7 @@ def rare_sums(buckets: DataFrame, parts: int) -> DataFrame:
     """
     def count(batches):
         trim()
-        g = gather(batches, {"h": "u8", "key": "i8", "n": "i4", "extra": "f4"})
+        g = gather(batches, {"h": "u8", "key": "i8", "n": "i4", "extra": "f8"})
         ready_made = g["h"] == 0
         h, key, n, train = (g[c][~ready_made] for c in ("h", "key", "n", "extra"))
         kinds, of = np.unique(h, return_inverse=True)
