@@ -284,11 +284,13 @@ def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", ho
     return rows.select("text").mapInArrow(keyed, scattered(["key", "node", "n"])).repartition(parts, "bucket").mapInArrow(grouped, "kind int, key bigint, a bigint, b bigint")
 
 
-def node_data(docs: DataFrame, rows: DataFrame, wanted: DataFrame, whole: bool, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(node, n, data): the dense sketch, or the whole set (int64 bytes), of each node wanted, from one document that has it."""
+def node_data(docs: DataFrame, first: DataFrame, wanted: DataFrame, whole: bool, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(node, n, data): the dense sketch, or the whole set (int64 bytes), of each node wanted, from one document that has it.
+
+    first: (node, first), a table of each node's smallest id.
+    """
     ready(docs.sparkSession)
-    light = rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    ids = materialize(light.select(F.xxhash64("id").alias("h")).distinct(), "wanted")
+    ids = materialize(first.join(wanted, "node", "left_semi").select(F.xxhash64("first").alias("h")).distinct(), "wanted")
     small = ids.count() * 8 <= BROADCAST
     texts = docs.select(F.xxhash64(F.col(id)).alias("h"), F.col(text).cast("string").alias("text"))
     texts = texts.join(F.broadcast(ids) if small else ids.hint("merge"), "h", "left_semi").select("text")
@@ -489,7 +491,7 @@ def _cross(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, links: DataFrame | None, text: str, id: str) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, first: DataFrame, pairs: DataFrame, links: DataFrame | None, text: str, id: str) -> tuple[DataFrame, DataFrame]:
     """(links, roots) after the near ``pairs`` (a < b) are taken in: pairs that other links join already are not compared.
 
     First each node meets its smallest neighbour; then all pairs that are still
@@ -504,7 +506,7 @@ def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, links: DataFrame
                 break
         ask = materialize(pairs if last else pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "asked")
         nodes = ask.select(F.col("a").alias("node")).union(ask.select(F.col("b").alias("node"))).distinct()
-        sets = node_data(docs, rows, nodes, True, text, id)
+        sets = node_data(docs, first, nodes, True, text, id)
         found = linked(ask, sets)
         before, links = links, materialize(found if links is None else found.union(links), "links")
         discard(ask, sets, before, roots)
@@ -513,31 +515,31 @@ def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, links: DataFrame
     return links, roots
 
 
-def _rooted(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
-    """((id, n, node, row_key) of every row of ``docs``, (node, root) of every node with links)."""
+def _rooted(docs: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, n, node, row_key) of every row of ``docs``, (node, first) the smallest id of each set, (node, root) of every node with links)."""
     rows = materialize(sets_of(docs, text, id), "sets")
+    first = materialize(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first")), "node-ids")
     found = materialize(candidate_groups(docs, text, id), "candidates")
     pairs = materialize(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     groups = found.where("kind = 1")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(groups.select(F.col("a").alias("node"))).distinct()
-    sketches = node_data(docs, rows, nodes, False, text, id)
+    sketches = node_data(docs, first, nodes, False, text, id)
     close = materialize(near(pairs, sketches), "near")
     discard(pairs)
-    links, roots = _linked(docs, rows, close, None, text, id)
+    links, roots = _linked(docs, first, close, None, text, id)
     discard(close)
     more = rest_pairs(groups, roots, sketches)
     discard(found, sketches)
     if not more.isEmpty():
-        links, roots = _linked(docs, rows, more, links, text, id)
+        links, roots = _linked(docs, first, more, links, text, id)
     discard(more, links)
-    return rows, roots
+    return rows, first, roots
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
-    rows, roots = _rooted(docs, text, id)
+    rows, first, roots = _rooted(docs, text, id)
     full = rows.where("n > 0")
-    first = materialize(full.groupBy("node").agg(F.min("id").alias("first")), "node-ids")
     lowest = materialize(first.join(roots, "node").groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     linked_ids = materialize(roots.join(lowest, "root").select("node", "component_id"), "linked-ids")
     of_node = materialize(first.join(linked_ids, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")), "node-components")
@@ -549,14 +551,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id")
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row of each component of ``docs``: that of the smallest id (nulls last). Of rows without words that agree in id and text, one stays."""
-    rows, roots = _rooted(docs, text, id)
+    rows, first, roots = _rooted(docs, text, id)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key"))
     by_node = materialize(rows.where("n > 0").groupBy("node").agg(best.alias("x")), "node-rows")
     linked_to = by_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("x").alias("x"))
     stay = materialize(linked_to.select("x.row_key").union(rows.where("n = 0").select("row_key")).distinct(), "kept-rows")
     copies = rows.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     kept = drop_rows(docs, rows.select("row_key").distinct().join(stay, "row_key", "left_anti"), id, text)
-    discard(rows, roots, by_node, stay)
+    discard(rows, first, roots, by_node, stay)
     if copies:
         return kept
     return kept.withColumn("__key", F.xxhash64(id, text)).dropDuplicates(["__key"]).drop("__key")
