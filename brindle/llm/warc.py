@@ -2,6 +2,8 @@
 
 Each archive is one file: a skippable frame that holds the dictionary, then one
 Zstandard frame per record, so that a record can be read from its offset alone.
+The dictionary is trained on a sample of the records of all archives, and every
+archive holds it; of too few records to train on, their bytes are the dictionary.
 Records whose payloads are equal (same SHA-1 and length) are written once as
 ``response``; the others become ``revisit`` records without a payload.
 
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, ready
+from .common import discard, materialize, new_path, ready
 
 #: The skippable frame's magic number and the revisit profile of the WARC format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -39,11 +41,12 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path.removeprefix('file:')}")
 
 
-def _dictionary(records: list[bytes], size: int) -> zstandard.ZstdCompressionDict | None:
+def _dictionary(records: list[bytes], size: int) -> zstandard.ZstdCompressionDict:
+    """Trained on the records; where they are too few for that, the last of their bytes are the dictionary."""
     try:
-        return zstandard.train_dictionary(size, records) if len(records) >= 8 else None
-    except zstandard.ZstdError:
-        return None  # too little to learn from: the archive then has no dictionary
+        return zstandard.train_dictionary(size, records)
+    except (zstandard.ZstdError, ValueError):
+        return zstandard.ZstdCompressionDict(b"".join(records)[-size:].rjust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def record(id: str | None, url: str | None, payload: bytes, refers_to: str | None, date: str) -> bytes:
@@ -60,24 +63,41 @@ def record(id: str | None, url: str | None, payload: bytes, refers_to: str | Non
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def sample_of(rows: DataFrame, most: int, date: str) -> list[bytes]:
+    """Records of about ``most`` bytes in all, chosen by hash from all rows; equal rows count once, records longer than ``most`` are left out."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    hashed = rows.where(F.col("size") <= most).withColumn("h", F.xxhash64("id", "url", "digest", "size"))
+    some = hashed.where(F.pmod("h", F.lit(max(1, total // most))) == 0).groupBy("h", "id", "url", "refers_to", "digest").agg(F.first("payload").alias("payload"))
+    out, held = [], 0
+    for r in some.orderBy("h", "id", "url").collect():
+        out.append(record(r.id, r.url, bytes(r.payload), r.refers_to, date))
+        held += len(out[-1])
+        if held > 2 * most:
+            break
+    return out
+
+
 def write_warc(pages: DataFrame, root: str | None = None, id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0, dictionary_bytes: int = 64 << 10, sample_bytes: int = 2 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write the rows as archives below ``root`` and return the manifest (path, records, bytes).
 
     min_bytes: payloads below this size are never turned into revisits.
-    sample_bytes: most of an archive's records that its dictionary is learned from; spread over its first batch.
+    sample_bytes: about the most of an archive's records that its dictionary is learned from: those of smallest hash of all.
     """
     spark = ready(pages.sparkSession)
     root = root or new_path(spark, "warc")
     rows = pages.select(F.col(id).alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumns({"digest": F.sha1("payload"), "size": F.length("payload")})
-    light = keyed.where(F.col("id").isNotNull() & (F.col("size") >= min_bytes)).select("id", "digest", "size").distinct()
-    firsts = light.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    light = materialize(keyed.where(F.col("id").isNotNull() & (F.col("size") >= min_bytes)).select("id", "digest", "size").distinct(), "warc-digests")
+    firsts = materialize(light.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
     revisits = light.join(firsts, ["digest", "size"]).where("id != first")
-    rows = keyed.join(revisits, ["id", "digest", "size"], "left").select(F.col("id").cast("string"), "url", "payload", F.col("first").cast("string").alias("refers_to"))
+    rows = keyed.join(revisits, ["id", "digest", "size"], "left").select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("first").cast("string").alias("refers_to"), "digest", "size")
+    records = sample_of(rows, sample_bytes, date)
+    shared = spark.sparkContext.broadcast(_dictionary(records, dictionary_bytes).as_bytes() if records else b" " * 8)
+    rows = rows.select("id", "url", "payload", "refers_to")
 
     def run(batches):
         task = TaskContext.get()
-        name, store, out, wrote, count = f"part-{task.partitionId():06d}.warc.zst", None, None, 0, 0
+        name, out, wrote, count = f"part-{task.partitionId():06d}.warc.zst", None, 0, 0
         fs, top = _open(root)
         temporary, final = f"{top}/_{name}.{task.taskAttemptId()}", f"{top}/{name}"
         for batch in batches:
@@ -88,20 +108,12 @@ def write_warc(pages: DataFrame, root: str | None = None, id: str = "page_id", u
             if out is None:
                 fs.create_dir(top, recursive=True)
                 out = fs.open_output_stream(temporary, compression=None)
-                step, sample, held = max(1, batch.num_rows // 1000), [], 0
-                for i in range(0, batch.num_rows, step):
-                    x = record(*(c[i].as_py() for c in cols), date)[: 128 << 10]
-                    if held + len(x) > sample_bytes:
-                        break
-                    sample.append(x)
-                    held += len(x)
-                store = _dictionary(sample, dictionary_bytes)
-                if store is not None:
-                    data = store.as_bytes()
-                    out.write(struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
-                    wrote += 8 + len(data)
-                    store.precompute_compress(level=level)
-                packer = zstandard.ZstdCompressor(level=level, dict_data=store) if store is not None else zstandard.ZstdCompressor(level=level)
+                data = shared.value
+                out.write(struct.pack("<II", DICTIONARY_FRAME, len(data)) + data)
+                wrote += 8 + len(data)
+                store = zstandard.ZstdCompressionDict(data)
+                store.precompute_compress(level=level)
+                packer = zstandard.ZstdCompressor(level=level, dict_data=store)
             for x in made:
                 frame = packer.compress(x)
                 out.write(frame)
@@ -112,7 +124,9 @@ def write_warc(pages: DataFrame, root: str | None = None, id: str = "page_id", u
             fs.move(temporary, final)
             yield pa.RecordBatch.from_pydict({"path": [f"{root}/{name}"], "records": pa.array([count], pa.int64()), "bytes": pa.array([wrote], pa.int64())})
 
-    return materialize(rows.sortWithinPartitions("id", "refers_to", "url").mapInArrow(run, "path string, records bigint, bytes bigint"), "warc-manifest")
+    manifest = materialize(rows.sortWithinPartitions("id", "refers_to", "url").mapInArrow(run, "path string, records bigint, bytes bigint"), "warc-manifest")
+    discard(light, firsts)
+    return manifest
 
 
 def records_of(stream) -> object:
