@@ -11,28 +11,32 @@ permuted longest common prefixes say which windows are equal.
 
 Induced sorting here is vectorised: one step handles all entries that a bucket
 holds at the time. The reduced string of named leftmost-smaller substrings is
-put in order by rank doubling instead of another round of induction.
+put in order by rank doubling; suffix_array(recursive=True) does so by induction
+again, which takes forty times as long, as its buckets are nearly as many as its
+symbols.
 
 Keys with very many distinct stretches (a passage in many surroundings) are cut
 finer, in blocks of 16, before they meet. Texts equal as a whole are one text
-that occurs twice. Text identity and keys are 64-bit hashes. Null and shorter
-texts have no window and stay whole. Ids may repeat or be null. Extra columns
-are ignored.
+that occurs twice (by length, 64-bit hash and SHA-256). Stretches are equal if both
+their key and their own hash agree (64 bits each). Null and shorter texts have no
+window and stay whole; an empty table gives an empty result. Ids may repeat or be
+null. Extra columns are ignored, whatever they are called. A text, however long,
+is cut whole, at some sixty bytes of memory a byte.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import chunks, gather, materialize, mix64, ranges, ready, scatter, scattered, shuffle_partitions, span_hash, utf8
+from .common import chunks, discard, gather, materialize, mix64, ranges, ready, scatter, scattered, shuffle_partitions, span_hash, utf8
 
 GRAM, BLOCK, FINE, MANY = 32, 128, 16, 2048
+#: What is known of a stretch when it leaves its chunk.
+ONCE, TWICE, COVERED = 1, 2, 3
 #: Bytes of text hashes that may be broadcast; beyond that, texts are joined by a shuffle.
 BROADCAST = 32 << 20
 
@@ -108,8 +112,12 @@ class _Induced:
         return sa
 
 
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffixes of t in order (of their first ``depth`` symbols at least); t is uint16, its last entry the only 0."""
+def suffix_array(t: np.ndarray, depth: int | None = None, recursive: bool = False) -> np.ndarray:
+    """Suffixes of t in order (of their first ``depth`` symbols at least); t's last entry is the only 0.
+
+    recursive: put the reduced string in order by this function again (to the
+    full depth) instead of by rank doubling.
+    """
     if len(t) < 2:
         return np.zeros(len(t), np.int32)
     s = _Induced(t)
@@ -124,9 +132,12 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     same[1:] = (h[1:] == h[:-1]) & ((until - found)[1:] == (until - found)[:-1])
     rank = np.zeros(len(found), np.int64)
     rank[place[found]] = np.cumsum(~same) - 1
-    if same.any():
-        rank = _doubled(rank, None if depth is None else depth // 2 + 2)
-    order = np.argsort(rank, kind="stable")
+    if not same.any():
+        order = np.argsort(rank, kind="stable")
+    elif recursive:
+        order = suffix_array(np.append(rank + 1, 0), None, True)[1:]  # without the end, which comes first
+    else:
+        order = np.argsort(_doubled(rank, None if depth is None else depth // 2 + 2), kind="stable")
     return s.induce(s.lms[order])
 
 
@@ -273,30 +284,47 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
             hashes = batch.column("text_hash").to_numpy()
             for a, data, offsets in chunks(batch.column("text"), 1 << 20):
                 key, content, text, lo, windows, shift = stretches_of(data, offsets, length)
-                yield scatter((key % np.uint64(parts)).astype(np.int64), {"key": key, "content": content, "text": hashes[a + text], "lo": lo, "windows": (windows | shift << 16).astype(np.int32)})
+                own, size = hashes[a + text], (windows | shift << 16).astype(np.int32)
+                # a stretch that a chunk has twice is covered wherever it is: one goes on to its key, and all to their texts
+                order = np.lexsort((content, key))
+                k, c = key[order], content[order]
+                first = np.ones(len(k), bool)
+                first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+                times = np.diff(np.append(np.flatnonzero(first), len(k)))
+                often = order[np.repeat(times, times) > 1]
+                on = order[first]
+                state = np.concatenate([np.where(times > 1, TWICE, ONCE), np.full(len(often), COVERED)]).astype(np.int8)
+                to = np.concatenate([key[on], mix64(own[often].view(np.uint64))])
+                at = np.concatenate([on, often])
+                yield scatter((to % np.uint64(parts)).astype(np.int64), {"key": key[at], "content": content[at], "text": own[at], "lo": lo[at], "windows": size[at], "state": state})
 
     def meet(batches):
-        g = gather(batches, {"key": "u8", "content": "u8", "text": "i8", "lo": "i8", "windows": "i4"})
-        order = np.lexsort((g["lo"], g["text"], g["content"], g["key"]))
-        key, content, text, lo, windows = (g[c][order] for c in ("key", "content", "text", "lo", "windows"))
+        g = gather(batches, {"key": "u8", "content": "u8", "text": "i8", "lo": "i8", "windows": "i4", "state": "i1"})
+        known = g["state"] == COVERED
+        if known.any():
+            yield _by_text(g["text"][known], {"lo": g["lo"][known], "size": (g["windows"][known] & 0xFFFF).astype(np.int64) + length - 1}, 0, NAMES)
+            g = {c: v[~known] for c, v in g.items()}
+        order = np.lexsort((-g["state"], g["lo"], g["text"], g["content"], g["key"]))
+        key, content, text, lo, windows, state = (g[c][order] for c in ("key", "content", "text", "lo", "windows", "state"))
         del g, order
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (text[1:] != text[:-1]) | (lo[1:] != lo[:-1])
-        key, content, text, lo, windows = (v[new] for v in (key, content, text, lo, windows))
+        key, content, text, lo, windows, state = (v[new] for v in (key, content, text, lo, windows, state))
         if not len(key):
             return
         kind = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
         kinds = np.flatnonzero(kind)  # where each distinct stretch of a key begins
         copies = np.diff(np.append(kinds, len(key)))
+        twice = (copies > 1) | (np.maximum.reduceat(state, kinds) == TWICE)
         heads = np.flatnonzero(np.concatenate([[True], key[kinds][1:] != key[kinds][:-1]]))
         distinct = np.repeat(np.diff(np.append(heads, len(kinds))), np.diff(np.append(heads, len(kinds))))
-        often = np.repeat(copies > 1, copies)
+        often = np.repeat(twice, copies)
         yield _by_text(text[often], {"lo": lo[often], "size": (windows[often] & 0xFFFF).astype(np.int64) + length - 1}, 0, NAMES)
         ask = kinds[distinct > 1]
-        flags = (copies[distinct > 1] > 1) | (distinct[distinct > 1] > MANY) * 2
+        flags = twice[distinct > 1] | (distinct[distinct > 1] > MANY) * 2
         yield _by_text(text[ask], {"lo": lo[ask], "size": windows[ask].astype(np.int64), "key": key[ask], "flags": flags.astype(np.uint8)}, 1, NAMES)
 
-    return docs.mapInArrow(cut, scattered(["key", "content", "text", "lo", "windows"])).repartition(parts, "bucket").mapInArrow(meet, SCHEMA)
+    return docs.mapInArrow(cut, scattered(["key", "content", "text", "lo", "windows", "state"])).repartition(parts, "bucket").mapInArrow(meet, SCHEMA)
 
 
 def _texts_with(docs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -378,15 +406,15 @@ def compared(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
 
 def removed(docs: DataFrame, length: int = 400, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept is null where nothing was cut (the text as it was)."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept has the bytes that stay."""
     ready(docs.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id).alias("id"), t.alias("text"), F.xxhash64(t).alias("text_hash"), F.octet_length(t).cast("bigint").alias("n_bytes"))
-    facts = materialize(rows.select("id", "text_hash", "n_bytes", F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "text-facts")
     texts = rows.where(F.col("n_bytes") >= length).select("text_hash", "text")
+    twice = materialize(texts.groupBy("text_hash", F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("copies")).where("copies > 1").select("text_hash").distinct(), "equal-texts")
     found = materialize(candidates(texts, length), "stretches")
-    covered = materialize(compared(texts, found.where("kind = 1"), length).union(found.where("kind = 0")), "covered")
-    twice = facts.where(F.col("n_bytes") >= length).groupBy("text_hash").agg(F.count("*").alias("copies")).where("copies > 1").select("text_hash", F.lit(True).alias("twice"))
+    covered = materialize(compared(texts, found.where("kind = 1"), length).union(found.where("kind = 0")).join(twice, "text_hash", "left_anti"), "covered")
+    discard(found)
 
     def cut(batches):
         for batch in batches:
@@ -400,17 +428,16 @@ def removed(docs: DataFrame, length: int = 400, text: str = "text", id: str = "d
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-                out.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["text_hash", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    done = _texts_with(texts, covered).mapInArrow(cut, "text_hash bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    out = facts.join(done.hint("merge"), "text_hash", "left").join(twice, "text_hash", "left")
-    all_gone = F.col("twice").isNotNull()
-    return out.select(
-        F.col("id").alias(id), "n_bytes",
-        F.when(all_gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(all_gone, F.lit(1).cast("bigint")).otherwise(F.coalesce("n_spans", F.lit(0).cast("bigint"))).alias("n_spans"),
-        F.when(all_gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(all_gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-    )
+                out.append((int(gone.sum()), spans, kept))
+            cols = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], ["text_hash", "n_removed", "n_spans", "kept"])
+
+    done = _texts_with(texts, covered).mapInArrow(cut, "text_hash bigint, n_removed bigint, n_spans bigint, kept binary")
+    whole = twice.select("text_hash", F.lit(None).cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(b"").alias("kept"))
+    verdict = materialize(done.union(whole), "verdicts")
+    discard(covered, twice)
+    # both sides are tables: a text that many rows have is split when they meet
+    out = rows.join(verdict.hint("merge").withColumn("cut", F.lit(True)), "text_hash", "left")
+    out = out.withColumn("kept", F.when(F.col("cut"), F.col("kept")).otherwise(F.col("text").cast("binary")))
+    gone = F.when(F.col("cut"), F.coalesce("n_removed", "n_bytes")).otherwise(0)
+    return out.select(F.col("id").alias(id), "n_bytes", gone.cast("bigint").alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
