@@ -7,9 +7,11 @@ Two tokens agree if merging their joined bytes gives the two back. Counts of
 whole pieces add up, so one pass gives the exact count of every prefix, and
 truncation or budget questions need no second encoding.
 
-Null texts count as empty (0 tokens). Ids and extra columns pass through
-untouched and rows are never merged: repeated rows give repeated results. Long
-pieces cost time in proportion to their length, memory by one batch of texts.
+Null texts count as empty (0 tokens), an empty table gives an empty result. Ids
+pass through, extra columns are ignored and rows are never merged: repeated rows
+give repeated results. Long pieces cost time in proportion to their length, memory
+by one batch of texts. A file with other settings than plain byte-level merging
+is refused.
 """
 
 from __future__ import annotations
@@ -37,6 +39,17 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _check(spec: dict, path: str) -> None:
+    """Raise unless the file asks for byte-level pieces by PATTERN and plain merges, and nothing more."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["normalizer"] * bool(spec.get("normalizer")) + ["model"] * (model.get("type") != "BPE")
+    odd += ["pre_tokenizer"] * (cut.get("type") != "ByteLevel" or bool(cut.get("add_prefix_space")) or not cut.get("use_regex", True))
+    odd += [t["content"] for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]
+    if odd:
+        raise ValueError(f"{path}: settings that prefix counting does not know: {', '.join(odd)}")
+
+
 class PrefixCounter:
     """Exact token counts of prefixes for one byte-level BPE file of the tokenizers library."""
 
@@ -46,6 +59,7 @@ class PrefixCounter:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec, path)
         chars = _byte_chars()
         raw = lambda s: bytes(chars[c] for c in s)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -171,8 +185,13 @@ class PrefixCounter:
         if at < len(text):
             yield text[at:], False
 
-    def batch_totals(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Token counts of consecutive UTF-8 texts: cut into pieces together, each new piece counted once."""
+    def batch_totals(self, data: np.ndarray, offsets: np.ndarray, budget: int = 1 << 60) -> tuple[np.ndarray, np.ndarray]:
+        """(token count, code points of the longest prefix of at most ``budget`` tokens) of consecutive UTF-8 texts.
+
+        They are cut into pieces together and each new piece is counted once.
+        The sums up to each piece say in which one the budget ends; the counts
+        of its own prefixes say where.
+        """
         text = data.tobytes().decode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -191,13 +210,21 @@ class PrefixCounter:
             totals = self.count_all(pieces)
             known.update((found[k], totals[p]) for k, p in zip(new, pieces))
         each = np.fromiter((known[h] for h in found), np.int64, len(found))[where] if found else np.zeros(0, np.int64)
-        out = per_row(each, np.searchsorted(starts, at))
-        if self.marks and any(m in text for m in self.marks):
-            for d in range(len(offsets) - 1):
-                own = text[at[d] : at[d + 1]]
-                if any(m in own for m in self.marks):
-                    out[d] = self.total(own)
-        return out
+        piece = np.searchsorted(starts, at)
+        out, fits = per_row(each, piece), np.diff(at)
+        marked = [d for d in range(len(offsets) - 1) if any(m in text[at[d] : at[d + 1]] for m in self.marks)] if self.marks and any(m in text for m in self.marks) else []
+        sums = np.concatenate([[0], np.cumsum(each)])
+        for d in np.setdiff1d(np.flatnonzero(out > budget), marked).tolist():
+            last = int(np.searchsorted(sums, sums[piece[d]] + budget, "right")) - 1  # the piece that ends above the budget
+            begin = max(int(piece[d]), last - 2)  # white space before it may be cut otherwise
+            within = self.prefixes(text[starts[begin] : ends[last]]) + (sums[begin] - sums[piece[d]])
+            fits[d] = starts[begin] - at[d] + np.flatnonzero(within <= budget)[-1]
+        for d in marked:
+            own = text[at[d] : at[d + 1]]
+            out[d] = self.total(own)
+            if out[d] > budget:
+                fits[d] = self.fit(own, budget)
+        return out, fits
 
     def total(self, text: str) -> int:
         """Token count of the whole text: the last entry of prefixes()."""
@@ -323,7 +350,9 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, vocab: str, limit: int = 512, text: str = "text", id: str = "doc_id", store: bool = False) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit[, prefix_counts]) per row.
+    """(id, n_bytes, n_tokens, over_limit, fit_chars[, prefix_counts]) per row.
+
+    fit_chars: code points of the longest prefix of at most ``limit`` tokens.
 
     vocab: path of a byte-level BPE file that every executor can read.
     store: also return ``prefix_counts`` (array<int>), the count of each prefix in code points.
@@ -340,15 +369,16 @@ def token_counts(docs: DataFrame, vocab: str, limit: int = 512, text: str = "tex
             if store:
                 stored = [c.prefixes(t or "") for t in batch.column("text").to_pylist()]
                 totals = np.array([p[-1] for p in stored], np.int64)
+                fits = np.array([np.flatnonzero(p <= limit)[-1] for p in stored], np.int64)
             else:
-                parts = [c.batch_totals(d, o) for _, d, o in chunks(batch.column("text"))]
-                totals = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            cols += [pa.array(totals, pa.int64()), pa.array(totals > limit, pa.bool_())]
-            names = ["id", "n_bytes", "n_tokens", "over_limit"]
+                parts = [c.batch_totals(d, o, limit) for _, d, o in chunks(batch.column("text"))]
+                totals, fits = (np.concatenate(v) for v in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+            cols += [pa.array(totals, pa.int64()), pa.array(totals > limit, pa.bool_()), pa.array(fits, pa.int64())]
+            names = ["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
             if store:
                 cols.append(pa.array(stored, pa.list_(pa.int32())))
                 names.append("prefix_counts")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean" + ", prefix_counts array<int>" * store)
+    out = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint" + ", prefix_counts array<int>" * store)
     return out.withColumnRenamed("id", id)
