@@ -65,6 +65,25 @@ def discard(*tables: DataFrame | None) -> None:
             remove(t.sparkSession, path)
 
 
+def traced(make) -> tuple[DataFrame, list[str]]:
+    """What ``make()`` returns, and the paths that it wrote in the shared folder."""
+    n = len(_written)
+    out = make()
+    return out, [path for _, path in _written[n:]]
+
+
+def roots_of(df: DataFrame) -> list[str]:
+    """The paths that the files ``df`` reads were listed from."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        try:
+            paths = leaves.apply(i).relation().location().rootPaths()
+        except Exception:  # noqa: BLE001 - rows that come from no files
+            continue
+        out += [paths.apply(k).toString() for k in range(paths.size())]
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
