@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import json
 
 from pyspark.sql import Column
@@ -98,22 +99,93 @@ def json_has_all(j: Column, keys: list[str]) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, keys)), F.json_object_keys(j))) == 0
 
 
-def _contains(a, b) -> bool:
+def _contains(a, b, top: bool = True) -> bool:
+    """Whether a holds b; only at the top may an array stand against a bare scalar."""
     if isinstance(b, dict):
-        return isinstance(a, dict) and all(k in a and _contains(a[k], v) for k, v in b.items())
+        return isinstance(a, dict) and all(k in a and _contains(a[k], v, False) for k, v in b.items())
     if isinstance(b, list):
-        return isinstance(a, list) and all(any(_contains(x, y) for x in a) for y in b)
+        return isinstance(a, list) and all(any(_contains(x, y, False) for x in a) for y in b)
     if isinstance(a, list):
-        return any(_contains(x, b) for x in a if not isinstance(x, (list, dict)))
-    return type(a) is type(b) and a == b or isinstance(a, (int, float)) and isinstance(b, (int, float)) and not isinstance(a, bool) and not isinstance(b, bool) and a == b
+        return top and any(_same(x, b) for x in a)
+    return _same(a, b)
 
 
-@F.pandas_udf(T.BooleanType())
-def json_contains(a, b):
-    """a @> b, deep; Arrow batches, as Column expressions have no recursion."""
+def _same(a, b) -> bool:
+    if isinstance(a, (dict, list)) or isinstance(b, (dict, list)):
+        return False
+    if isinstance(a, bool) or isinstance(b, bool) or a is None or b is None or isinstance(a, str) or isinstance(b, str):
+        return type(a) is type(b) and a == b
+    return a == b
+
+
+def _order(x) -> tuple:
+    """Sort key: null, text, number, boolean, array, object; longer arrays and objects after shorter ones."""
+    if x is None:
+        return (0,)
+    if isinstance(x, str):
+        return (1, x.encode())
+    if isinstance(x, bool):
+        return (3, x)
+    if isinstance(x, list):
+        return (4, len(x), [_order(v) for v in x])
+    if isinstance(x, dict):
+        keys = sorted(x, key=lambda k: (len(k.encode()), k.encode()))
+        return (5, len(x), [v for k in keys for v in ((1, k.encode()), _order(x[k]))])
+    return (2, x)
+
+
+def _parsed(column) -> list:
+    """Values of a column of JSON texts; equal ones, as in a constant column, are parsed once."""
+    known: dict = {None: None}
+    out = []
+    for t in column:
+        if t not in known:
+            if len(known) > 10_000:
+                known = {None: None}
+            known[t] = json.loads(t, parse_float=decimal.Decimal)
+        out.append(known[t])
+    return out
+
+
+def _json_pairs(kind, make):
+    """A function of two JSON columns, in Arrow batches: Column expressions have no recursion."""
+
+    @F.pandas_udf(kind)
+    def run(a, b):
+        import pandas as pd
+
+        return pd.Series([None if t is None or u is None else make(x, y) for t, u, x, y in zip(a, b, _parsed(a), _parsed(b))], dtype="object")
+
+    return run
+
+
+#: a @> b, a = b, and the sign of comparing a with b.
+json_contains = _json_pairs(T.BooleanType(), _contains)
+json_eq = _json_pairs(T.BooleanType(), lambda a, b: _order(a) == _order(b))
+json_cmp = _json_pairs(T.IntegerType(), lambda a, b: (_order(a) > _order(b)) - (_order(a) < _order(b)))
+
+
+def json_contained(a: Column, b: Column) -> Column:
+    return json_contains(b, a)
+
+
+@F.pandas_udf(T.StringType())
+def json_canonical(a):
+    """One text for all JSON texts that are equal: keys in order, numbers without trailing zeros."""
     import pandas as pd
 
-    return pd.Series([None if x is None or y is None else _contains(json.loads(x), json.loads(y)) for x, y in zip(a, b)], dtype="object")
+    def plain(x):
+        if isinstance(x, decimal.Decimal):
+            x = x.normalize()
+            return int(x) if x == x.to_integral_value() else float(x)
+        return [plain(v) for v in x] if isinstance(x, list) else {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+    return pd.Series([None if t is None else json.dumps(plain(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for t, x in zip(a, _parsed(a))], dtype="object")
+
+
+def json_hash(j: Column) -> Column:
+    """Equal for equal values, whatever the order of keys."""
+    return F.xxhash64(json_canonical(j))
 
 
 # Ranges: struct<lo, hi, lo_inc, hi_inc, empty>; a null bound is unbounded
@@ -185,3 +257,76 @@ def range_contains(a: Column, b: Column) -> Column:
     low = a["lo"].isNull() | F.coalesce((a["lo"] < b["lo"]) | ((a["lo"] == b["lo"]) & (a["lo_inc"] | ~b["lo_inc"])), F.lit(False))
     high = a["hi"].isNull() | F.coalesce((a["hi"] > b["hi"]) | ((a["hi"] == b["hi"]) & (a["hi_inc"] | ~b["hi_inc"])), F.lit(False))
     return b["empty"] | (~a["empty"] & low & high)
+
+
+def range_contained_by(a: Column, b: Column) -> Column:
+    return range_contains(b, a)
+
+
+def range_minus(a: Column, b: Column) -> Column:
+    """What is left of a; an error where b would cut it in two."""
+    meet = range_overlaps(a, b)
+    same_low = (a["lo"].eqNullSafe(b["lo"]) & ((a["lo_inc"] == b["lo_inc"]) | a["lo"].isNull()))
+    same_high = (a["hi"].eqNullSafe(b["hi"]) & ((a["hi_inc"] == b["hi_inc"]) | a["hi"].isNull()))
+    b_first = b["lo"].isNull() | same_low | F.coalesce((b["lo"] < a["lo"]) | ((b["lo"] == a["lo"]) & b["lo_inc"]), F.lit(False))
+    b_last = b["hi"].isNull() | same_high | F.coalesce((b["hi"] > a["hi"]) | ((b["hi"] == a["hi"]) & b["hi_inc"]), F.lit(False))
+    made = lambda lo, hi, li, hi_inc: F.struct(lo.alias("lo"), hi.alias("hi"), li.alias("lo_inc"), hi_inc.alias("hi_inc"), F.lit(False).alias("empty"))
+    nothing = F.struct(F.lit(None).cast("void").alias("lo"), F.lit(None).cast("void").alias("hi"), F.lit(False).alias("lo_inc"), F.lit(False).alias("hi_inc"), F.lit(True).alias("empty"))
+    head = made(a["lo"], b["lo"], a["lo_inc"], ~b["lo_inc"])
+    tail = made(b["hi"], a["hi"], ~b["hi_inc"], a["hi_inc"])
+    cut = F.raise_error(F.lit("result of range difference would not be contiguous"))
+    return F.when(~meet, a).when(b_first & b_last, nothing).when(b_first, tail).when(b_last, head).otherwise(F.when(cut.isNull(), a))
+
+
+def lower_inf(r: Column) -> Column:
+    return ~r["empty"] & r["lo"].isNull()
+
+
+def upper_inf(r: Column) -> Column:
+    return ~r["empty"] & r["hi"].isNull()
+
+
+# Integer arrays
+
+
+def int_sort(a: Column, how: str = "asc") -> Column:
+    return F.sort_array(a, how == "asc")
+
+
+def int_union(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_union(a, b))
+
+
+def int_inter(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_intersect(a, b))
+
+
+def int_subtract(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_except(a, b))
+
+
+def idx(a: Column, x: Column) -> Column:
+    """Place of the first x from 1, 0 if there is none."""
+    return F.coalesce(F.array_position(a, x), F.lit(0)).cast("int")
+
+
+# Enums: an ordered list of labels
+
+
+def enum_first(labels: list[str]) -> Column:
+    return F.lit(labels[0])
+
+
+def enum_last(labels: list[str]) -> Column:
+    return F.lit(labels[-1])
+
+
+def enum_place(value: Column, labels: list[str]) -> Column:
+    """The value's place in the order, for comparing and sorting."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, labels)), value), F.lit(0))
+
+
+def enum_range(low: Column, high: Column, labels: list[str]) -> Column:
+    """The labels from low to high; null is open."""
+    a, b = F.coalesce(enum_place(low, labels), F.lit(1)), F.coalesce(enum_place(high, labels), F.lit(len(labels)))
+    return F.slice(F.array(*map(F.lit, labels)), a, F.greatest(b - a + 1, F.lit(0)))

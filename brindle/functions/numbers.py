@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def div(a: Column, b: Column) -> Column:
-    """Whole division, towards zero."""
-    return F.floor(F.abs(a / b)).cast("bigint") * F.signum(a * b).cast("bigint")
+    """Whole division, towards zero, exact for whole numbers of any size; null where b is 0."""
+    return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
 def trunc(x: Column, digits: int = 0) -> Column:
-    scale = F.lit(10.0**digits)
-    return F.signum(x) * F.floor(F.abs(x) * scale) / scale
+    """Towards zero at a decimal place."""
+    away = F.round(x, digits)
+    return F.when(F.abs(away) > F.abs(x), F.round(away - F.signum(x) * F.lit(10.0**-digits), digits)).otherwise(away)
 
 
 def round_(x: Column, digits: int = 0, decimal: bool = False) -> Column:
@@ -124,3 +125,31 @@ def to_char(ts: Column, pattern: str) -> Column:
 
 def to_date(s: Column, pattern: str) -> Column:
     return F.to_date(s, template(pattern))
+
+
+def to_timestamp(s: Column, pattern: str) -> Column:
+    return F.to_timestamp(s, template(pattern)).cast("timestamp_ntz")
+
+
+def isfinite(x: Column) -> Column:
+    """Of numbers: neither infinite nor no number. Of dates and times without those values: true."""
+    return ~(F.isnan(x.cast("double")) | x.cast("double").isin(float("inf"), float("-inf")))
+
+
+def justify_interval(months: Column, days: Column, micros: Column) -> tuple[Column, Column, Column]:
+    """All three parts of one sign where they can be: 24 hours to the day, 30 days to the month."""
+    day, month = 86_400_000_000, 30
+    total = (months * month + days) * day + micros
+    sign, size = F.signum(total).cast("bigint"), F.abs(total)
+    whole = F.call_function("div", size, F.lit(day))
+    return (sign * F.call_function("div", whole, F.lit(month))), (sign * (whole % month)), (sign * (size % day))
+
+
+def hypothetical(value: Column, new, order_desc: bool = False) -> dict[str, Column]:
+    """Aggregates that tell where ``new`` would stand among the group's values (nulls last): rank, dense_rank, percent_rank, cume_dist."""
+    new = F.lit(new)
+    before = F.count_if((value > new) if order_desc else (value < new))
+    peers = F.count_if(value == new)
+    distinct = F.count_distinct(F.when((value > new) if order_desc else (value < new), value))
+    rows = F.count(F.lit(1))
+    return {"rank": before + 1, "dense_rank": distinct + 1, "percent_rank": F.when(rows == 0, F.lit(0.0)).otherwise(before / rows), "cume_dist": (before + peers + 1) / (rows + 1)}

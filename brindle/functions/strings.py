@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,18 +80,46 @@ def regexp_replace(s: Column, pattern: str, by: str, flags: str = "") -> Column:
     for k in range(8, 0, -1):
         shift = shift.replace(f"${k}", f"${k + 1}")
     rest = f"{inline}(?s)^(.*?)(?:{body})(.*)$"
-    groups = body.count("(") - body.count("(?") - body.count("\\(")
+    groups = count_groups(body)
     return F.regexp_replace(s, rest, f"$1{shift}${groups + 2}")
 
 
-def regexp_match(s: Column, pattern: str, groups: int) -> Column:
+def count_groups(pattern: str) -> int:
+    """Capturing groups of a pattern: brackets outside of classes, without escapes and without (?, but for named ones."""
+    n, at, inside = 0, 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            at += pattern[at + 1 : at + 2] == "^"
+            at += pattern[at + 1 : at + 2] == "]"
+        elif c == "(" and (pattern[at + 1 : at + 2] != "?" or re.match(r"\(\?P?<[A-Za-z]", pattern[at:])):
+            n += 1
+        at += 1
+    return n
+
+
+def _groups(pattern: str) -> list[int]:
+    """The groups that a match yields: its own, or the whole match without groups."""
+    return list(range(1, count_groups(pattern) + 1)) or [0]
+
+
+def regexp_match(s: Column, pattern: str) -> Column:
     """Groups of the first match (the whole match without groups); null if there is none."""
-    found = [F.regexp_extract(s, pattern, k) for k in (range(1, groups + 1) if groups else [0])]
+    found = [F.regexp_extract(s, pattern, k) for k in _groups(pattern)]
     return F.when(s.rlike(pattern), F.array(*found))
 
 
-def regexp_matches(s: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+def regexp_matches(s: Column, pattern: str, flags: str = "") -> Column:
+    """The groups (the whole match without groups) of the first match, or with g of all: an array of arrays."""
+    p = ("(?i)" if "i" in flags else "") + pattern
+    every = [F.regexp_extract_all(s, F.lit(p), F.lit(k)) for k in _groups(pattern)]
+    rows = F.transform(F.arrays_zip(*[e.alias(f"g{k}") for k, e in enumerate(every)]), lambda r: F.array(*[r[f"g{k}"] for k in range(len(every))]))
+    return rows if "g" in flags else F.slice(rows, 1, 1)
 
 
 def regexp_split(s: Column, pattern: str) -> Column:
@@ -112,12 +142,40 @@ def decode(s: Column, form: str) -> Column:
     return {"hex": lambda: F.unhex(s), "base64": lambda: F.unbase64(s)}[form]()
 
 
-def similar_to(s: Column, pattern: str) -> Column:
-    """SIMILAR TO: % and _ as in LIKE, the rest as in a regular expression over the whole text."""
-    out = "".join({"%": ".*", "_": ".", ".": "\\.", "^": "\\^", "$": "\\$"}.get(c, c) for c in pattern)
+def similar_to(s: Column, pattern: str, escape: str = "\\") -> Column:
+    """SIMILAR TO: % and _ as in LIKE, the rest as in a regular expression over the whole text; what follows ``escape`` stands for itself."""
+    out, at = "", 0
+    while at < len(pattern):
+        c = pattern[at]
+        if escape and c == escape and at + 1 < len(pattern):
+            at += 1
+            out += re.escape(pattern[at])
+        else:
+            out += {"%": ".*", "_": ".", ".": "\\.", "^": "\\^", "$": "\\$", "\\": "\\\\"}.get(c, c)
+        at += 1
     return s.rlike(f"(?s)^(?:{out})$")
 
 
+def parse_ident(s: Column) -> Column:
+    """Parts of a dotted name: quoted ones as they are, others lower-cased."""
+    parts = F.regexp_extract_all(s, F.lit('"(?:[^"]|"")*"|[^."]+'), F.lit(0))
+    inner = lambda p: F.replace(F.substr(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(parts, lambda p: F.when(p.startswith('"'), inner(p)).otherwise(F.lower(F.trim(p))))
+
+
+def get_bit(b: Column, n: int) -> Column:
+    """Bit n of a byte string, counted from the least bit of its first byte."""
+    byte = F.conv(F.hex(F.substring(b, n // 8 + 1, 1)), 16, 10).cast("int")
+    return F.shiftright(byte, n % 8).bitwiseAND(F.lit(1))
+
+
+def set_bit(b: Column, n: int, to: int) -> Column:
+    at, mask = n // 8, 1 << n % 8
+    byte = F.conv(F.hex(F.substring(b, at + 1, 1)), 16, 10).cast("int")
+    new = byte.bitwiseOR(F.lit(mask)) if to else byte.bitwiseAND(F.lit(255 - mask))
+    return F.concat(F.substring(b, 1, at), F.unhex(F.lpad(F.hex(new.cast("bigint")), 2, "0")), F.substr(b, F.lit(at + 2)))
+
+
 def format_(template: str, *values: Column) -> Column:
     """format() with %s, %I, %L and %%, by position or as n$."""
     parts, at, nth = [], 0, 0

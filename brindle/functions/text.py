@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,18 @@ class Query:
         """Phrase: ``other`` that many words after this."""
         return Query("<->", self, other, distance)
 
+    def rewritten(self, target: Query, by: Query) -> Query:
+        """Every part that is ``target`` replaced (ts_rewrite)."""
+        if self == target:
+            return by
+        return Query(self.op, *[p.rewritten(target, by) if isinstance(p, Query) else p for p in self.parts])
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Query) and (self.op, self.parts) == (other.op, other.parts)
+
+    def __hash__(self) -> int:
+        return hash((self.op, self.parts))
+
     def numnode(self) -> int:
         return 1 + sum(p.numnode() for p in self.parts if isinstance(p, Query))
 
@@ -67,8 +82,6 @@ class Query:
 
 def parse(query: str) -> Query:
     """to_tsquery: words, :* prefixes, & | ! <-> <n> and parentheses."""
-    import re
-
     tokens = re.findall(r"<->|<\d+>|[&|!()]|[^\s&|!()<>]+", query.lower())
     at = 0
 
@@ -197,6 +210,34 @@ def lca(*paths: Column) -> Column:
     return F.array_join(F.slice(parts[0], 1, best), ".")
 
 
+def headline(s: Column, terms: list[str], start: str = "<b>", end: str = "</b>") -> Column:
+    """The text with the words of a query marked."""
+    words = "|".join(re.escape(t) for t in terms)
+    return F.regexp_replace(s, f"(?iu)(?<![\\p{{L}}\\p{{N}}])({words})(?![\\p{{L}}\\p{{N}}])", f"{start}$1{end}")
+
+
+# Ids and digests
+
+
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """HMAC with SHA-256, in hexadecimal: two rounds of the digest over padded keys."""
+    key = hashlib.sha256(key).digest() if len(key) > 64 else key
+    pads = [bytes(b ^ x for b in key.ljust(64, b"\0")) for x in (0x36, 0x5C)]
+    inner = F.unhex(F.sha2(F.concat(F.lit(pads[0]), message), 256))
+    return F.sha2(F.concat(F.lit(pads[1]), inner), 256)
+
+
+#: Fixed value: the namespace of names that are URLs.
+NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
+    """The id that a namespace and a name always have (version 5)."""
+    h = F.substring(F.sha1(F.concat(F.lit(bytes.fromhex(namespace)), name.cast("binary"))), 1, 32)
+    variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 8).cast("bigint")))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
 # Networks: IPv4 as text a.b.c.d/n
 
 
@@ -233,8 +274,35 @@ def in_network(ip: Column, net: Column) -> Column:
     return (masklen(ip) > masklen(net)) & (ip_number(ip) >= start) & (ip_number(ip) < start + size)
 
 
+def merged_network(a: Column, b: Column) -> Column:
+    """The smallest network that holds both addresses (inet_merge)."""
+    apart = ip_number(a).bitwiseXOR(ip_number(b))
+    bits = F.least(F.lit(32) - F.length(F.nullif(F.bin(apart), F.lit("0"))), masklen(a), masklen(b))
+    bits = F.coalesce(bits, F.least(masklen(a), masklen(b)))
+    return network(F.concat(host(a), F.lit("/"), bits.cast("string")))
+
+
 # Places and boxes
 
+
+def box_area(box: Column) -> Column:
+    """Of struct<x1, y1, x2, y2>."""
+    return F.abs(box["x2"] - box["x1"]) * F.abs(box["y2"] - box["y1"])
+
+
+def box_center(box: Column) -> Column:
+    return F.struct(((box["x1"] + box["x2"]) / 2).alias("x"), ((box["y1"] + box["y2"]) / 2).alias("y"))
+
+
+def circle_area(radius: Column) -> Column:
+    return F.pi() * radius * radius
+
+
+def segments_overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """Closed intervals with a point in common."""
+    return (lo1 <= hi2) & (lo2 <= hi1)
+
+
 #: Radius of the earth in metres (cube based) and in statute miles (point based).
 EARTH_METRES, EARTH_MILES = 6378168.0, 3958.747716
 

@@ -43,7 +43,8 @@ def compare_all(df: DataFrame, column: Column, op: str, other: DataFrame, value:
     """Rows where ``column op ANY|ALL (other.value)`` is true, by three-valued logic.
 
     The list is boiled down to its count, nulls, least and greatest value first;
-    equality with ANY and its negation with ALL become semi and anti joins.
+    equality with ANY and its negation with ALL become semi and anti joins. All
+    values equal one only if that is the least and the greatest.
     """
     name = "__v"
     if (op, how) == ("=", "any"):
@@ -54,6 +55,10 @@ def compare_all(df: DataFrame, column: Column, op: str, other: DataFrame, value:
         hit = other.where(F.col(value).isNotNull()).select(F.col(value).alias("__o")).distinct()
         kept = joined.where("__n = 0 or (__n = __k and __v is not null)").join(hit, F.col(name) == F.col("__o"), "left_anti")
         return kept.drop(name, "__n", "__k", "__lo", "__hi")
+    if (op, how) in (("=", "all"), ("<>", "any")):
+        same = F.expr("__lo = __v AND __hi = __v")
+        cond = F.expr("__n = 0") | (F.expr("__n = __k") & same) if op == "=" else F.expr("__k > 0") & ~same
+        return joined.where(F.coalesce(cond, F.lit(False))).drop(name, "__n", "__k", "__lo", "__hi")
     bound = {("<", "any"): "__hi", ("<=", "any"): "__hi", (">", "any"): "__lo", (">=", "any"): "__lo", ("<", "all"): "__lo", ("<=", "all"): "__lo", (">", "all"): "__hi", (">=", "all"): "__hi"}[op, how]
     test = F.expr(f"{name} {op} {bound}")
     cond = test if how == "any" else F.expr("__n = 0") | (F.expr("__n = __k") & test)
@@ -71,13 +76,11 @@ def shifted(df: DataFrame, keys: list[str], by: list[Column], value: str, offset
     return joined.withColumn(out, got).select(*df.columns, out)
 
 
-def nth_value(value: Column, n: Column, frame) -> Column:
-    """nth_value with a column for n, over a frame; nulls count."""
-    return F.get(F.transform(F.collect_list(F.struct(value.alias("v"))).over(frame), lambda x: x["v"]), n - 1)
-
-
-def limit_by(df: DataFrame, by: list[Column], n: int, offset: int = 0) -> DataFrame:
-    return df.orderBy(*by).offset(offset).limit(n)
+def nth_value(df: DataFrame, keys: list[str], by: list[Column], value: str, n: Column, out: str) -> DataFrame:
+    """nth_value with a column for n, over the rows of the keys up to the current one (in an order without ties); nulls count."""
+    placed = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    got = shifted(placed, keys, by, value, F.col("__rn") - n, out)
+    return got.withColumn(out, F.when(n <= F.col("__rn"), F.col(out))).drop("__rn")
 
 
 def recursive_union(start: DataFrame, step, distinct: bool = True, most: int = 1000) -> DataFrame:
@@ -134,17 +137,35 @@ def zipped_rows(df: DataFrame, arrays: dict[str, Column]) -> DataFrame:
     return df.select("*", F.explode(zipped).alias("__z")).select(*df.columns, *[F.col("__z").getField(n).alias(n) for n in names])
 
 
-def overlap_join(left: DataFrame, right: DataFrame, lo: tuple[str, str], hi: tuple[str, str], width: float) -> DataFrame:
-    """Pairs whose half-open intervals overlap: both sides cut into bins of ``width``, an equi-join, each pair once.
+def overlap_join(left: DataFrame, right: DataFrame, lo: tuple[str, str], hi: tuple[str, str], width: float, levels: int = 24) -> DataFrame:
+    """Pairs whose half-open intervals overlap, each once, however long the intervals.
 
-    A pair is kept in the bin that holds the later of the two starts.
+    Each interval lies in at most two bins of the level that its length asks for
+    (bins of level k are ``width`` * 2^k wide). Sides meet at the higher of their
+    two levels: each is entered at its own, and its bins' parents at the levels
+    above that the other side has. A pair is kept in the bin that holds the
+    later of the two starts. Intervals of more than ``width`` * 2^levels are of the
+    highest level.
     """
-    bins = lambda a, b: F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1e-9) / width))
-    x = left.where(F.col(lo[0]) < F.col(hi[0])).withColumn("__bin", F.explode(bins(lo[0], hi[0])))
-    y = right.where(F.col(lo[1]) < F.col(hi[1])).withColumn("__bin", F.explode(bins(lo[1], hi[1])))
-    hit = (F.col(lo[0]) < F.col(hi[1])) & (F.col(lo[1]) < F.col(hi[0]))
-    own = F.col("__bin") == F.floor(F.greatest(F.col(lo[0]), F.col(lo[1])) / width)
-    return x.join(y, "__bin").where(hit & own).drop("__bin")
+    number = lambda c: F.col(c).cast("double")
+
+    def leveled(df: DataFrame, a: str, b: str) -> DataFrame:
+        size = F.greatest((number(b) - number(a)) / width, F.lit(1.0))
+        return df.where(F.col(a) < F.col(b)).withColumn("__level", F.least(F.ceil(F.log2(size)).cast("int"), F.lit(levels)))
+
+    x, y = leveled(left, lo[0], hi[0]), leveled(right, lo[1], hi[1])
+    used = sorted({r[0] for side in (x, y) for r in side.select("__level").distinct().collect()})  # at most levels + 1 numbers
+
+    def entered(df: DataFrame, a: str, b: str) -> DataFrame:
+        at = F.explode(F.filter(F.array(*[F.lit(k) for k in used]), lambda k: k >= F.col("__level"))) if used else F.explode(F.array().cast("array<int>"))
+        df = df.withColumn("__at", at).withColumn("__wide", F.lit(float(width)) * F.pow(F.lit(2.0), F.col("__at")))
+        return df.withColumn("__bin", F.explode(F.sequence(F.floor(number(a) / F.col("__wide")), F.floor(number(b) / F.col("__wide")))))
+
+    p = entered(x, *(c[0] for c in (lo, hi))).withColumnRenamed("__level", "__mine")
+    q = entered(y, *(c[1] for c in (lo, hi))).withColumnRenamed("__level", "__other").drop("__wide")
+    hit = (F.col(lo[0]) < F.col(hi[1])) & (F.col(lo[1]) < F.col(hi[0])) & (F.greatest("__mine", "__other") == F.col("__at"))
+    own = F.col("__bin") == F.floor(F.greatest(number(lo[0]), number(lo[1])) / F.col("__wide"))
+    return p.join(q, ["__at", "__bin"]).where(hit & own).drop("__at", "__bin", "__wide", "__mine", "__other")
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, columns: list[str]) -> DataFrame:

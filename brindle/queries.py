@@ -176,8 +176,8 @@ def window_lag_column(spark, folder):
 
 @query("SELECT o_orderkey, nth_value(o_orderkey, CAST(o_orderkey % 3 + 1 AS INT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS got FROM orders")
 def window_nth_column(spark, folder):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return table(spark, folder, "orders").select("o_orderkey", ops.nth_value(F.col("o_orderkey"), (F.col("o_orderkey") % 3 + 1).cast("int"), w).alias("got"))
+    o = table(spark, folder, "orders").select("o_custkey", "o_orderkey")
+    return ops.nth_value(o, ["o_custkey"], [F.col("o_orderkey")], "o_orderkey", F.col("o_orderkey") % 3 + 1, "got").select("o_orderkey", "got")
 
 
 # Order, limits, sets, recursion
@@ -310,7 +310,7 @@ _columns("fn_strings", "customer", "c_custkey", {
     "tra": lambda: F.translate("c_name", "0123", "abcd"), "rev": lambda: F.reverse("c_name"), "lpa": lambda: F.lpad("c_mktsegment", 12, "*"), "md": lambda: F.md5(C("c_name")), "hex": lambda: st.to_hex(C("c_custkey")), "asc": lambda: F.ascii("c_name").cast("bigint"),
 }, "SELECT c_custkey, upper(c_mktsegment) AS up, list_reduce(list_transform(regexp_extract_all(c_name || '-xy z', '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+'), lambda x: upper(x[1:1]) || lower(x[2:])), lambda a, b: a || b) AS ini, c_name[1:3] AS sub, left(c_name, -3) AS lef, right(c_name, -3) AS rig, concat(c_name, NULL, c_mktsegment) AS con, strpos(c_name, '0') AS pos, replace(c_name, '0', 'o') AS rep, split_part(c_name, '#', 2) AS spl, translate(c_name, '0123', 'abcd') AS tra, reverse(c_name) AS rev, lpad(c_mktsegment, 12, '*') AS lpa, md5(c_name) AS md, lower(to_hex(c_custkey)) AS hex, CAST(ascii(c_name) AS BIGINT) AS asc FROM customer")
 _columns("fn_regexp", "part", "p_partkey", {
-    "first": lambda: st.regexp_replace(C("p_name"), "[aeiou]", "_"), "every": lambda: st.regexp_replace(C("p_name"), "[AEIOU]", "_", "gi"), "digits": lambda: F.array_join(st.regexp_matches(C("p_brand"), "[0-9]"), ","), "parts": lambda: F.array_join(st.regexp_split(C("p_name"), "[^a-zA-Z0-9]+"), "|"), "sim": lambda: st.similar_to(C("p_type"), "(PROMO|ECON)%"),
+    "first": lambda: st.regexp_replace(C("p_name"), "[aeiou]", "_"), "every": lambda: st.regexp_replace(C("p_name"), "[AEIOU]", "_", "gi"), "digits": lambda: F.array_join(F.flatten(st.regexp_matches(C("p_brand"), "[0-9]", "g")), ","), "parts": lambda: F.array_join(st.regexp_split(C("p_name"), "[^a-zA-Z0-9]+"), "|"), "sim": lambda: st.similar_to(C("p_type"), "(PROMO|ECON)%"),
 }, "SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '_') AS first, regexp_replace(p_name, '[AEIOU]', '_', 'gi') AS every, array_to_string(regexp_extract_all(p_brand, '[0-9]'), ',') AS digits, array_to_string(regexp_split_to_array(p_name, '[^a-zA-Z0-9]+'), '|') AS parts, p_type SIMILAR TO '(PROMO|ECON).*' AS sim FROM part")
 _columns("fn_quote_format", "nation", "n_nationkey", {
     "lit": lambda: st.quote_literal(F.concat(C("n_name"), F.lit("'s"))), "nul": lambda: st.quote_nullable(F.nullif(C("n_name"), F.lit("NATION_3"))), "form": lambda: st.format_("%s of %2$s: %%", C("n_name"), C("n_regionkey")),
