@@ -3,7 +3,7 @@
 New rows of a base table move through the views that contain it, smallest first:
 the view's new rows are those of one part joined with the stored rest. Deltas of
 several tables are applied one table after the other, so no pair of new rows is
-joined twice or missed.
+joined twice or missed. Views are only added to.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.storage import Stored
+from brindle.plans.tree import Aggregate
+from brindle.storage import Parts, Stored
 
 Edge = tuple[str, str, str, str]  # table, column, table, column
 
@@ -38,18 +39,41 @@ def connected(tables: list[str], edges: list[Edge]) -> list[frozenset[str]]:
     return out
 
 
+def folded(tables: list[str], edges: list[Edge], fixed: set[str]) -> tuple[dict[str, list[str]], list[Edge]]:
+    """Tables that never get rows, put beside a table that does: (base -> its fixed tables, in join order; edges between bases)."""
+    with_, home = {t: [] for t in tables if t not in fixed}, {t: t for t in tables if t not in fixed}
+    while grown := next(((a, b) if a in home else (b, a) for a, _, b, _ in edges if (a in home) != (b in home)), None):
+        home[grown[1]] = home[grown[0]]
+        with_[home[grown[0]]].append(grown[1])
+    between = [(home[a], c, home[b], d) for a, c, b, d in edges if a in home and b in home and home[a] != home[b]]
+    return with_, between
+
+
 class LatticeQuery:
-    """views: a DataFrame for each connected set of tables; answer(top) is any query over the join of all."""
-
-    def __init__(self, tables: dict[str, DataFrame], edges: list[Edge], answer, fixed: set[str] = frozenset()) -> None:
-        """fixed: tables that never get rows; views of these alone need no upkeep."""
-        self.tables, self.edges, self.answer, self.fixed = dict(tables), edges, answer, set(fixed)
-        self.sets = connected(list(tables), edges)
-        self.top = frozenset(tables)
-        self.views: dict[frozenset[str], list[Stored]] = {}
+    """A view for each connected set of base tables; the answer is a query over the join of all.
+
+    The top view itself is not stored: its rows become partial groups at once,
+    and only these are kept, merged when the answer is read.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], edges: list[Edge], groups: Aggregate, prepare=None, fixed: set[str] = frozenset()) -> None:
+        """prepare: row-wise work on the join of all, before the groups. fixed: tables that never get rows; they are joined to a neighbour."""
+        self.tables, self.groups, self.prepare, self.fixed = dict(tables), groups, prepare or (lambda df: df), set(fixed)
+        self.all_edges = edges
+        self.beside, self.edges = folded(list(tables), edges, self.fixed)
+        self.sets = connected(list(self.beside), self.edges)
+        self.top = frozenset(self.beside)
+        self.views: dict[frozenset[str], Parts] = {}
+        self.preloaded: dict[str, Stored] = {}
+        self._spent: list[Stored] = []
         if self.top not in self.sets:
             raise ValueError("the tables are not connected")
 
+    def count(self) -> tuple[int, int, int]:
+        """(views, bases, views of fixed tables alone)"""
+        alone = sum(bool(x) for x in self.beside.values())
+        return len(self.sets) + alone, len(self.beside), alone
+
     def _split(self, view: frozenset[str], base: str) -> list[frozenset[str]]:
         """Connected parts of a view without a base table."""
         rest, out = set(view) - {base}, []
@@ -59,51 +83,62 @@ class LatticeQuery:
             rest -= part
         return out
 
-    def _joined(self, left: DataFrame, mine: set[str], right: DataFrame, other: frozenset[str]) -> DataFrame:
-        on = [F.col(c) == F.col(d) for a, c, b, d in self.edges if a in mine and b in other] + [F.col(d) == F.col(c) for a, c, b, d in self.edges if b in mine and a in other]
+    @staticmethod
+    def _joined(left: DataFrame, mine: set[str], right: DataFrame, other: set[str], edges: list[Edge]) -> DataFrame:
+        on = [F.col(c) == F.col(d) for a, c, b, d in edges if a in mine and b in other] + [F.col(d) == F.col(c) for a, c, b, d in edges if b in mine and a in other]
         return left.join(right, on)
 
+    def _with_fixed(self, base: str, rows: DataFrame) -> DataFrame:
+        """Rows of a base table, joined with the fixed tables beside it."""
+        mine = {base}
+        for t in self.beside[base]:
+            rows = self._joined(rows, mine, self.preloaded[t].df, {t}, self.all_edges)
+            mine.add(t)
+        return rows
+
     def _grown(self, rows: DataFrame, base: str, view: frozenset[str]) -> DataFrame:
         mine, out = {base}, rows
         for part in self._split(view, base):
-            out = self._joined(out, mine, self.view(part), part)
+            out = self._joined(out, mine, self.views[part].df, part, self.edges)
             mine |= part
         return out
 
-    def view(self, tables: frozenset[str]) -> DataFrame:
-        parts = [s.df for s in self.views[tables]]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def _made(self, view: frozenset[str], rows: DataFrame) -> DataFrame:
+        return self.groups.partial(self.prepare(rows)) if view == self.top else rows
+
+    def answer(self) -> DataFrame:
+        top = self.views[self.top]
+        return self.groups.finish(self.groups.merge(top.df) if len(top.parts) > 1 else top.df)
 
     def start(self) -> DataFrame:
+        self.preloaded = {t: Stored(self.tables[t], "fixed") for b in self.beside for t in self.beside[b]}
         for s in self.sets:
             base = min(s)
-            rows = self.tables[base] if len(s) == 1 else self._grown(self.view(frozenset({base})), base, s)
-            self.views[s] = [Stored(rows, "view")]
-        return self.answer(self.view(self.top))
+            if len(s) == 1:
+                rows = self._with_fixed(base, self.tables[base])
+            else:
+                rows = self._grown(self.views[frozenset({base})].df, base, s)
+            self.views[s] = Parts(Stored(self._made(s, rows), "view"), "view")
+        return self.answer()
 
     def refresh(self, deltas: dict[str, DataFrame | None]) -> DataFrame:
+        """One table after the other: the views that hold it get what its new rows make with the stored rest."""
         for base, rows in deltas.items():
             if rows is None:
                 continue
             if base in self.fixed:
                 raise ValueError(f"{base} was said never to change")
-            new = Stored(rows, "delta")
-            grown = {s: new if len(s) == 1 else Stored(self._grown(new.df, base, s), "view") for s in self.sets if base in s}
+            new = Stored(self._with_fixed(base, rows), "delta")
+            own = [s for s in self.sets if base in s]
+            grown = {s: new if len(s) == 1 and s != self.top else Stored(self._made(s, self._grown(new.df, base, s)), "view") for s in own}
             for s, d in grown.items():
-                self.views[s].append(d)
-                if len(self.views[s]) > 8:  # many small files read slowly
-                    old = self.views[s]
-                    self.views[s] = [Stored(self.view(s), "view")]
-                    for o in old:
-                        if o is not new:
-                            o.drop()
-        return self.answer(self.view(self.top))
+                self._spent += self.views[s].append(d, self.groups.merge if s == self.top else None)
+            if new not in grown.values():
+                self._spent.append(new)
+        return self.answer()
 
     def finish(self) -> None:
-        for s in self.views.values():
-            for x in s:
-                x.drop()
-        self.views = {}
+        """Delete all views; answers that read them have to be used before."""
+        for x in [*self._spent, *self.preloaded.values(), *self.views.values()]:
+            x.drop()
+        self.views, self.preloaded, self._spent = {}, {}, []

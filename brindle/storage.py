@@ -26,6 +26,14 @@ class Stored:
         self.path = f"{shared_dir(self.spark)}/brindle/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
+        self._rows: int | None = None
+
+    @property
+    def rows(self) -> int:
+        """Counted from the files' footers, once."""
+        if self._rows is None:
+            self._rows = self.df.count()
+        return self._rows
 
     @property
     def df(self) -> DataFrame:
@@ -34,3 +42,31 @@ class Stored:
     def drop(self) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Parts:
+    """A state that grows: files are only ever added; beyond ``most`` of them they are written into one again."""
+
+    def __init__(self, first: Stored, name: str = "state", most: int = 8) -> None:
+        self.name, self.most = name, most
+        self.parts = [first]
+
+    @property
+    def df(self) -> DataFrame:
+        out = self.parts[0].df
+        for p in self.parts[1:]:
+            out = out.unionByName(p.df)
+        return out
+
+    def append(self, part: Stored, merge=None) -> list[Stored]:
+        """Add a part; the parts that are no longer read come back (``merge`` shrinks the rows when they are written again)."""
+        self.parts.append(part)
+        if len(self.parts) <= self.most:
+            return []
+        old, rows = self.parts, self.df
+        self.parts = [Stored(merge(rows) if merge else rows, self.name)]
+        return old
+
+    def drop(self) -> None:
+        for p in self.parts:
+            p.drop()

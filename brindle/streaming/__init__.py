@@ -14,14 +14,42 @@ def refresh_stream(spark: SparkSession, path: str, schema: str, table: str, quer
     """Refresh a started query with each micro-batch of new parquet files, until all that are there are used.
 
     A micro-batch is the snapshot of one refresh: its offsets are fixed before
-    it runs and committed after the sink has taken the answer.
+    it runs and committed after the sink has taken the answer. Its rows are first
+    written below the checkpoint under the batch's number, from where the query
+    reads them: a batch that comes again replaces the same files and is given to
+    the query once. After a restart a new query is first brought up to date from
+    the batches written before, so nothing that the stream skips is lost.
     """
     stream = spark.readStream.schema(schema).parquet(path)
+    kept = f"{checkpoint.rstrip('/')}/rows"
+    kinds = spark.createDataFrame([], schema).schema
+    known: set[int] = query.__dict__.setdefault("epochs", {}).setdefault(checkpoint, set())
+
+    def rows_of(epoch: int) -> DataFrame:
+        return spark.read.schema(kinds).parquet(f"{kept}/{epoch:012d}")
+
+    def finished() -> list[int]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(p.getName()) for p in names if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def step(rows: DataFrame, epoch: int) -> None:
-        if not rows.isEmpty():
-            sink(query.refresh({table: rows}), epoch)
+        if epoch in known:  # the batch was used, its commit was not reached
+            sink(query.answer(), epoch)
+            return
+        rows.write.mode("overwrite").parquet(f"{kept}/{epoch:012d}")
+        new = rows_of(epoch)
+        if not new.isEmpty():
+            sink(query.refresh({table: new}), epoch)
+        known.add(epoch)
 
+    for epoch in finished():
+        if epoch not in known:
+            old = rows_of(epoch)
+            if not old.isEmpty():
+                sink(query.refresh({table: old}), epoch)
+            known.add(epoch)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
