@@ -183,3 +183,28 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     a = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
+
+
+def running_sum(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over all rows up to each, in an order without ties: by ranges of the order, each summed alone, and sums over the ranges."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = Stored(df.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()), "ranges").df
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = placed.groupBy("__part").agg(F.sum(value).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return placed.withColumn(out, within).join(F.broadcast(starts), "__part").withColumn(out, F.col(out) + F.col("__start")).drop("__part", "__start")
+
+
+def numbered(df: DataFrame, by: list[str], out: str, start: int = 1) -> DataFrame:
+    """Consecutive numbers in an order without ties, for any number of rows."""
+    return running_sum(df.withColumn("__one", F.lit(1).cast("bigint")), by, "__one", out).withColumn(out, F.col(out) + start - 1).drop("__one")
+
+
+def user_aggregate(df: DataFrame, keys: list[str], value: Column, zero: Column, step, merge, out: str, salts: int = 64) -> DataFrame:
+    """An aggregate given by a state: ``step(state, value)`` within a part of a group, ``merge(state, state)`` between its parts.
+
+    A group is dealt over ``salts`` parts by a hash of its rows.
+    """
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    parts = df.groupBy(*keys, part.alias("__salt")).agg(F.aggregate(F.collect_list(value), zero, step).alias("__state"))
+    return parts.groupBy(*keys).agg(F.aggregate(F.collect_list("__state"), zero, merge).alias(out))

@@ -50,6 +50,53 @@ def system_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
 
 
+def _text_hash(key: str, seed: int) -> Column:
+    """A hash that any database can make: MD5 of seed and key as text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+
+
+def bernoulli_text(df: DataFrame, percent: float, key: str, seed: int = 0) -> DataFrame:
+    """bernoulli() by a hash that other databases have too."""
+    return df.where(F.conv(F.substring(_text_hash(key, seed), 1, 7), 16, 10).cast("bigint") < int(percent / 100 * (1 << 28)))
+
+
+def system_rows_text(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    return df.orderBy(_text_hash(key, seed), F.col(key)).limit(n)
+
+
+def xml_rows(df: DataFrame, column: str, path: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """XMLTABLE: a row for each node that ``path`` finds, with columns (path below the node, type)."""
+    found = {n: F.xpath(F.col(column), F.lit(f"{path}/{p}" if p.startswith("@") else f"{path}/{p}/text()")) for n, (p, _) in columns.items()}
+    rows = df.select(F.explode(F.arrays_zip(*[v.alias(n) for n, v in found.items()])).alias("r"))
+    return rows.select(*[F.col(f"r.{n}").cast(kind).alias(n) for n, (_, kind) in columns.items()])
+
+
+def update(target: DataFrame, condition: Column, to: dict[str, Column]) -> DataFrame:
+    """UPDATE ... SET ... WHERE: rows for which the condition is true are changed, the others stay."""
+    hit = F.coalesce(condition, F.lit(False))
+    return target.select(*[F.when(hit, to[c]).otherwise(F.col(c)).alias(c) if c in to else F.col(c) for c in target.columns])
+
+
+def deleted(target: DataFrame, condition: Column) -> DataFrame:
+    """DELETE ... RETURNING: the rows that go."""
+    return target.where(condition)
+
+
+def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """What turns ``old`` into ``new``: a row for each key that is not the same, with op insert, delete or update, and its new columns."""
+    rest = [c for c in new.columns if c not in keys]
+    a = old.select(*keys, F.struct(*rest).alias("__old"), F.lit(True).alias("__was"))
+    b = new.select(*keys, F.struct(*rest).alias("__new"), F.lit(True).alias("__is"))
+    both = a.join(b, keys, "full")
+    op = F.when(F.col("__was").isNull(), "insert").when(F.col("__is").isNull(), "delete").when(~F.col("__old").eqNullSafe(F.col("__new")), "update")
+    return both.withColumn("op", op).where("op is not null").select(*keys, "op", *[F.col(f"__new.{c}") for c in rest])
+
+
+def prepare(spark: SparkSession, sql: str):
+    """A statement with :names; calling it with their values runs it. Values are never put into the text."""
+    return lambda **values: spark.sql(sql, args=values)
+
+
 def with_ordinality(df: DataFrame, array: Column, value: str = "value", ordinality: str = "ordinality") -> DataFrame:
     """One row for each element, numbered from 1."""
     return df.select("*", F.posexplode(array).alias("__pos", value)).withColumn(ordinality, F.col("__pos").cast("bigint") + 1).drop("__pos")
