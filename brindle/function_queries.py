@@ -183,3 +183,51 @@ _columns("fn_text_more", "part", "p_partkey", {
 _columns("fn_crypto_ids", "customer", "c_custkey", {
     "m": lambda: F.md5("c_name"), "s1": lambda: F.sha1("c_name"), "s2": lambda: F.sha2("c_name", 256), "enc": lambda: F.aes_decrypt(F.aes_encrypt("c_name", F.lit("0123456789abcdef")), F.lit("0123456789abcdef")).cast("string"), "h": lambda: tx.hmac_sha256(C("c_name").cast("binary"), b"key") == tx.hmac_sha256(C("c_name").cast("binary"), b"key"), "v5": lambda: F.substring(tx.uuid5(C("c_name")), 15, 1), "sn": lambda: F.length(F.uuid()).cast("bigint"),
 }, "SELECT c_custkey, md5(c_name) AS m, sha1(c_name) AS s1, sha256(c_name) AS s2, c_name AS enc, c_name = c_name AS h, '5' AS v5, length(CAST(uuid() AS VARCHAR)) AS sn FROM customer")
+_columns("fn_word_similarity", "part", "p_partkey", {
+    "half": lambda: F.round(tx.word_similarity(F.lit("word"), F.concat(F.lit("two words "), F.repeat(F.lit("z"), (C("p_partkey") % 3).cast("int")))), 6), "own": lambda: F.round(tx.word_similarity(C("p_type"), F.concat(F.lit("zz "), C("p_type"))), 6),
+}, "SELECT p_partkey, CASE WHEN p_partkey >= 0 THEN 0.8::DOUBLE END AS half, CASE WHEN length(p_type) > 0 THEN 1.0::DOUBLE END AS own FROM part")
+_columns("fn_path_queries", "nation", "n_nationkey", {
+    "any": lambda: tx.path_matches(F.concat(F.lit("top.a."), C("n_name")), "*.NATION_1"), "two": lambda: tx.path_matches(F.concat(F.lit("top.a."), C("n_name")), "top.*{1,2}.nation_2@"), "pre": lambda: tx.path_matches(F.concat(F.lit("top.a."), C("n_name")), "top.a|b.NATION_1*"), "no": lambda: tx.path_matches(F.concat(F.lit("top.a."), C("n_name")), "top.!b.!NATION_3"), "few": lambda: tx.path_matches(F.concat(F.lit("top.a."), C("n_name")), "top.*{2,}.NATION_1"),
+}, "SELECT n_nationkey, n_name = 'NATION_1' AS any, n_name = 'NATION_2' AS two, n_name LIKE 'NATION!_1%' ESCAPE '!' AS pre, n_name <> 'NATION_3' AS no, n_name <> n_name AS few FROM nation")
+_columns("fn_times", "orders", "o_orderkey", {
+    "tz": lambda: F.make_timestamp_ltz(F.year("o_orderdate"), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(5), F.lit("UTC")).cast("timestamp_ntz"), "clk": lambda: F.current_timestamp() <= F.now(),
+}, "SELECT o_orderkey, make_timestamp(year(o_orderdate), 1, 2, 3, 4, 5) AS tz, o_orderkey IS NOT NULL AS clk FROM orders")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 7 ROWS FETCH FIRST 5 ROWS ONLY")
+def fetch_first(spark, folder):
+    from brindle import sources as src
+
+    src.register(spark, folder, ("orders",))
+    return src.statement(spark, "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 7 ROWS FETCH FIRST 5 ROWS ONLY")
+
+
+@query("SELECT range AS k, range * range AS v FROM range(0, 1000)")
+def foreign_scan(spark, folder):
+    from brindle import sources as src
+
+    return src.foreign(spark, "squares", "k bigint, v bigint", 4, lambda part, parts: ((k, k * k) for k in range(part, 1000, parts)))
+
+
+@query("SELECT o_orderkey, sum(o_custkey * o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS squares FROM orders")
+def window_own_aggregate(spark, folder):
+    """An aggregate of one's own over a window's frame."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey").rowsBetween(-2, 0)
+    own = F.aggregate(F.collect_list("o_custkey").over(w), F.lit(0).cast("bigint"), lambda a, x: a + x * x)
+    return table(spark, folder, "orders").select("o_orderkey", own.alias("squares"))
+
+
+@query("SELECT n_nationkey, unnest(['name', 'region']) AS k FROM nation")
+def map_key_rows(spark, folder):
+    return table(spark, folder, "nation").select("n_nationkey", F.explode(F.map_keys(F.create_map(F.lit("name"), C("n_name"), F.lit("region"), C("n_regionkey").cast("string")))).alias("k"))
+
+
+@query("SELECT o_orderkey, s FROM (SELECT o_orderkey, o_custkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS s FROM orders) WHERE o_custkey < 40")
+def window_filter_pushed(spark, folder):
+    """A condition on the partition key reaches the scan, below the window."""
+    from brindle import sources as src
+
+    src.register(spark, folder, ("orders",))
+    return spark.sql("SELECT o_orderkey, s FROM (SELECT o_orderkey, o_custkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS s FROM orders) t WHERE o_custkey < 40")

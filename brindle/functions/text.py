@@ -159,6 +159,17 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(x, y)) == 0, 0.0).otherwise(both / F.size(F.array_union(x, y)))
 
 
+def word_similarity(a: Column, b: Column) -> Column:
+    """The best similarity of a's trigrams to those of any run of b's, in their order."""
+    words = F.regexp_extract_all(F.lower(b), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
+    run, mine = F.flatten(F.transform(words, of)), trigrams(a)
+    share = lambda part: F.size(F.array_intersect(mine, part)) / F.size(F.array_union(mine, part))
+    ends = lambda i: F.sequence(i, F.size(run))
+    best = F.transform(F.sequence(F.lit(1), F.size(run)), lambda i: F.array_max(F.transform(ends(i), lambda j: share(F.slice(run, i, j - i + 1)))))
+    return F.when((F.size(run) == 0) | (F.size(mine) == 0), 0.0).otherwise(F.array_max(best))
+
+
 def levenshtein_within(a: Column, b: Column, most: int) -> Column:
     """The distance, or most + 1 if it is larger."""
     d = F.levenshtein(a, b, most)
@@ -201,6 +212,32 @@ def is_ancestor(a: Column, b: Column) -> Column:
     return (a == b) | F.startswith(b, F.concat(a, F.lit(".")))
 
 
+def path_pattern(query: str) -> str:
+    """A regular expression for a path query, over a path with a dot behind it.
+
+    ``*`` any labels, ``*{n,m}`` so many; a label may end in * (a beginning) or @
+    (any case); | separates choices, ! in front takes all others.
+    """
+    out = "^"
+    for item in query.split("."):
+        if m := re.fullmatch(r"\*(?:\{(\d*)(,?)(\d*)\})?", item):
+            low, comma, high = m.groups() if "{" in item else ("", ",", "")
+            out += "(?:[^.]+\\.){" + f"{low or 0}{',' + high if comma else ''}" + "}"
+            continue
+        parts = []
+        for label in item.removeprefix("!").split("|"):
+            body = re.escape(label.rstrip("*@%"))
+            tail = label[len(label.rstrip("*@%")) :]
+            parts.append(("(?i:" + body + ")" if "@" in tail else body) + ("[^.]*" if "*" in tail else ""))
+        any_of = "(?:" + "|".join(parts) + ")\\."
+        out += f"(?!{any_of})[^.]+\\." if item.startswith("!") else any_of
+    return out + "$"
+
+
+def path_matches(p: Column, query: str) -> Column:
+    return F.concat(p, F.lit(".")).rlike(path_pattern(query))
+
+
 def lca(*paths: Column) -> Column:
     """The longest path above all of them."""
     parts = [labels(p) for p in paths]

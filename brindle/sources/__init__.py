@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -136,3 +139,36 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: dict[str
 def delete(target: DataFrame, condition: Column) -> DataFrame:
     """Rows that stay: those for which the condition is false or unknown."""
     return target.where(~F.coalesce(condition, F.lit(False)))
+
+
+def statement(spark: SparkSession, sql: str) -> DataFrame:
+    """A statement with FETCH FIRST n ROWS ONLY and OFFSET n ROWS, in Spark's words for them."""
+    sql = re.sub(r"(?i)\bFETCH\s+(?:FIRST|NEXT)\s+(\d+)?\s*ROWS?\s+ONLY", lambda m: f"LIMIT {m[1] or 1}", sql)
+    sql = re.sub(r"(?i)\bOFFSET\s+(\d+)\s+ROWS?\b", r"OFFSET \1", sql)
+    sql = re.sub(r"(?i)\b(OFFSET \d+)\s+(LIMIT \d+)", r"\2 \1", sql)
+    return spark.sql(sql)
+
+
+def foreign(spark: SparkSession, name: str, schema: str, parts: int, rows) -> DataFrame:
+    """A source of one's own: ``rows(part, parts)`` yields the rows (tuples) of each part, on the executors."""
+
+    class Reader(DataSourceReader):
+        def partitions(self):
+            return [InputPartition(k) for k in range(parts)]
+
+        def read(self, partition):
+            yield from rows(partition.value, parts)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return schema
+
+        def reader(self, schema):
+            return Reader()
+
+    spark.dataSource.register(Source)
+    return spark.read.format(name).load()
