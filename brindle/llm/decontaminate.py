@@ -1,16 +1,18 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Training documents are taken in shards of some megabytes. A shard's suffix
-array holds the word suffixes that begin like some benchmark suffix (its first
-``q`` words occur in a row in the benchmark; no other suffix can match one for
-as long), sorted by prefix doubling. Every benchmark suffix is then found by
-binary search: the suffixes that share its window are one interval, each entry
-of which is a verbatim match with its location and, extended, its full length.
+array holds its word suffixes, sorted by prefix doubling as far as a window
+reaches (``pruned``: only those whose first ``q`` words occur in a row in the
+benchmark; no other suffix can match one for as long). Every benchmark suffix is
+then found by binary search: the suffixes that share its window are one interval,
+each entry of which is a verbatim match with its location and, extended, its full
+length.
 
 Words are runs of digits, letters and code points beyond ASCII, A-Z lower-cased.
 A benchmark larger than ``block_bytes`` is broadcast in blocks, one after the
 other, each no larger than that (or one item). Null and empty texts have no
-words. Items without words never match; equal items are all reported. Ids may
+words. Items without words never match; equal items are all reported, and those
+without an id as null. Ids may
 repeat: each row is judged alone. An empty benchmark hits nothing. Very long
 texts are shards of their own. Extra columns pass through ``clean`` untouched.
 """
@@ -31,7 +33,8 @@ WORDS = byte_class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 class Benchmark:
     """Suffixes of a block of items, as numbers of their first q words; 0 ends a suffix."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = 10) -> None:
+    def __init__(self, items: list[tuple[str, str | None]], window: int = 10, pruned: bool = False) -> None:
+        self.pruned = pruned
         self.names = [i for i, _ in items]
         data, offsets = utf8(pa.array([t or "" for _, t in items], pa.string()))
         low = lower_ascii(data)
@@ -66,10 +69,22 @@ class Benchmark:
                 nxt = ids[k : n - q + 1 + k]
                 part = mix64(part) ^ nxt.astype(np.uint64) if len(self.vocab) > 1 << 20 else part * np.uint64(1 << 21) + nxt.astype(np.uint64)
                 ok = ok & (nxt >= 0)
-            key[: n - q + 1] = part
+            key[: n - q + 1] = part & np.uint64((1 << 63) - 1)
             inside[: n - q + 1] = ok & (row[: n - q + 1] == row[q - 1 :])
         return key, inside
 
+    def _all_grams(self, gram: np.ndarray, inside: np.ndarray, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _grams(), and a key for those with words that the benchmark lacks too: by the words' hashes, above all keys of the benchmark's."""
+        n, q = len(h), self.q
+        own, whole = np.zeros(n, np.uint64), np.zeros(n, bool)
+        if n >= q:
+            part = h[: n - q + 1]
+            for k in range(1, q):
+                part = mix64(part) ^ h[k : n - q + 1 + k]
+            own[: n - q + 1] = part
+            whole[: n - q + 1] = row[: n - q + 1] == row[q - 1 :]
+        return np.where(inside, gram, own | np.uint64(1 << 63)), whole
+
     def shard(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list]:
         """Matches of one shard: by text n_words, n_hit, longest; and pairs (text, item)."""
         rows = len(offsets) - 1
@@ -85,15 +100,24 @@ class Benchmark:
         row = np.repeat(np.arange(rows), n_words)
         gram, inside = self._grams(ids, row)
         place = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        here = np.flatnonzero(inside & (self.grams[place] == gram))
-        if not len(here):
-            return nothing
+        test_symbols, every = self.symbols, self.grams
+        if self.pruned:
+            here = np.flatnonzero(inside & (self.grams[place] == gram))
+            if not len(here):
+                return nothing
+        else:
+            inside &= self.grams[place] == gram
+            gram, inside = self._all_grams(gram, inside, h, row)
+            here = np.flatnonzero(inside)
+            every = np.unique(np.concatenate([self.grams, gram[here]]))
+            place = np.searchsorted(every, gram)
+            test_symbols = np.where(self.symbols > 0, np.searchsorted(every, self.grams[np.maximum(self.symbols, 1) - 1]) + 1, 0)
         depth = int(self.need.max())
         spread = np.arange(len(ids)) + row  # a place for a 0 behind every text
         symbols = np.zeros(len(ids) + rows + depth + 1, np.int64)
         symbols[spread[here]] = place[here] + 1
-        array = self._sorted(symbols, spread[here], depth)
-        low_at, high_at = (self._search(symbols, array, right) for right in (False, True))
+        array = self._sorted(symbols, spread[here], depth, len(every))
+        low_at, high_at = (self._search(symbols, array, right, test_symbols) for right in (False, True))
         count = high_at - low_at
         found = np.flatnonzero(count)
         if not len(found):
@@ -111,7 +135,7 @@ class Benchmark:
         while len(live):
             k = length[live] - self.q + 1
             live, k = (v[length[live] < self.left[test[live]]] for v in (live, k))
-            same = self.symbols[t[live] + k] == symbols[spot[live] + k]
+            same = test_symbols[t[live] + k] == symbols[spot[live] + k]
             live = live[same]
             length[live] += 1
         longest = np.zeros(rows, np.int64)
@@ -119,13 +143,13 @@ class Benchmark:
         pairs = np.unique(row[pos] * (len(self.names) + 1) + self.item[test])
         return {"n_words": n_words, "n_hit": per_row(hit, first), "longest": longest, "pairs": np.divmod(pairs, len(self.names) + 1), "spans": _spans(hit, row, first)}
 
-    def _sorted(self, symbols: np.ndarray, here: np.ndarray, depth: int) -> np.ndarray:
+    def _sorted(self, symbols: np.ndarray, here: np.ndarray, depth: int, kinds_of: int) -> np.ndarray:
         """Suffix array: positions ``here`` by their next ``depth`` symbols (0 ends them), by prefix doubling."""
         rank, step = symbols.copy(), 1
         while True:
             to = np.minimum(here + step, len(rank) - 1)
             nxt = np.where(here + step < len(rank), rank[to], 0)
-            key = rank[here] * (len(here) + len(self.grams) + 2) + nxt
+            key = rank[here] * (len(here) + kinds_of + 2) + nxt
             kinds, of = np.unique(key, return_inverse=True)
             new = np.zeros(len(rank), np.int64)
             new[here] = of + 1
@@ -133,7 +157,7 @@ class Benchmark:
             if step >= depth or len(kinds) == len(here):
                 return here[np.argsort(rank[here], kind="stable")]
 
-    def _search(self, symbols: np.ndarray, array: np.ndarray, right: bool) -> np.ndarray:
+    def _search(self, symbols: np.ndarray, array: np.ndarray, right: bool, test_symbols: np.ndarray) -> np.ndarray:
         """Binary search of every test suffix's window in the suffix array, all in step: first entry not below (or above)."""
         lo, hi = np.zeros(len(self.suffix), np.int64), np.full(len(self.suffix), len(array))
         while (open_ := np.flatnonzero(lo < hi)).size:
@@ -144,7 +168,7 @@ class Benchmark:
                 tie = (order == 0) & (k < need)
                 if not tie.any():
                     break
-                a, b = symbols[p + k], self.symbols[t + k]
+                a, b = symbols[p + k], test_symbols[t + k]
                 order = np.where(tie, np.sign(a - b), order).astype(np.int8)
             up = order <= 0 if right else order < 0
             lo[open_[up]] = mid[up] + 1
@@ -163,13 +187,13 @@ def _spans(hit: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndar
     return text, at[heads] - first[text], at[tails] + 1 - first[text]
 
 
-def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, id: str, text: str):
+def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, id: str, text: str, pruned: bool = False):
     """The benchmark in blocks of at most about ``block_bytes``, each checked in size before it comes to the driver."""
     rows = benchmark.select(F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for k in range(n):
-        yield Benchmark([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()], window)
+        yield Benchmark([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()], window, pruned)
 
 
 def _scan(column, bench: Benchmark):
@@ -178,12 +202,15 @@ def _scan(column, bench: Benchmark):
         yield a, len(offsets) - 1, bench.shard(data, offsets)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, text: str = "text", id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_hit, items (array<string>), longest, spans (array<struct<from,to>> of words hit)."""
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, text: str = "text", id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", pruned: bool = False) -> DataFrame:
+    """Per row: id, n_words, n_hit, items (array<string>), longest, spans (array<struct<from,to>> of words hit).
+
+    pruned: leave suffixes out of the arrays whose first words do not occur in a row in the benchmark (the same result).
+    """
     spark = ready(docs.sparkSession)
     out = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("longest"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("spans"))
     kind = out.schema
-    for k, bench in enumerate(blocks_of(benchmark, window, block_bytes, item_id, item_text)):
+    for k, bench in enumerate(blocks_of(benchmark, window, block_bytes, item_id, item_text, pruned)):
         if k:  # one block, and one worker, at a time
             out = materialize(out, "benchmark-block")
         shared = spark.sparkContext.broadcast(bench)
@@ -210,12 +237,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
     return out.select(F.col("id").alias(id), "n_words", hit.alias("n_hit"), "items", "longest", "spans")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text", pruned: bool = False) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
     spark = ready(docs.sparkSession)
     at = docs.columns.index(text)
     out = docs
-    for k, bench in enumerate(blocks_of(benchmark, window, block_bytes, item_id, item_text)):
+    for k, bench in enumerate(blocks_of(benchmark, window, block_bytes, item_id, item_text, pruned)):
         if k:  # one block, and one worker, at a time
             out = materialize(out, "benchmark-block")
         shared = spark.sparkContext.broadcast(bench)

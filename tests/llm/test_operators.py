@@ -29,7 +29,7 @@ TEXTS = [
     (10, "start " + SHARED + " end of it"), (11, "Other Start\n" + SHARED.upper() + "\nand on"), (12, SHARED + " x"), (13, "same\nsame\n\nsame\n a"), (14, "x" * 50_000),
     *[(100 + k, " ".join(_words(50 + k, 60 + k))) for k in range(20)],
 ]
-ITEMS = [(1, " ".join(SHARED.split()[20:40])), (2, "one two"), (3, None), (4, ""), (5, " ".join(SHARED.split()[25:45])), (6, "never seen words here"), (20, "One two")]
+ITEMS = [(1, " ".join(SHARED.split()[20:40])), (2, "one two"), (3, None), (4, ""), (5, " ".join(SHARED.split()[25:45])), (6, "never seen words here"), (20, "One two"), (None, "one two"), (5, "one two")]
 
 
 def _frame(spark, texts=TEXTS):
@@ -170,10 +170,12 @@ def test_decontamination(docs, nothing, spark, block):
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in grams:
                     hit |= set(range(k, k + n))
-                    items.add(str(j))
-        want[i, len(w), len(hit), tuple(sorted(items))] += 1
+                    items.add(None if j is None else str(j))
+        want[i, len(w), len(hit), tuple(sorted(items, key=lambda x: (x is None, x)))] += 1
     got = decontaminate.find(docs, bench, block_bytes=block).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == want
+    fewer = decontaminate.find(docs, bench, block_bytes=block, pruned=True).collect()
+    assert sorted(map(repr, fewer)) == sorted(map(repr, got))
     kept = decontaminate.clean(docs, bench, block_bytes=block)
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[2])
     assert decontaminate.find(nothing, bench).count() == 0
