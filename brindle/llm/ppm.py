@@ -22,8 +22,10 @@ and broadcast; the rest meet in buckets by hash. Which words are in the sample
 changes where they are counted, not the counts.
 
 A-Z is lower-cased. Null texts count as empty: they have the end only. Without
-training texts every symbol has equal chances. Rows may repeat: each counts as a
-training text of its own and gets its own row. Extra columns are ignored.
+training texts every symbol has equal chances; an empty table gives an empty
+result. Texts of any length are read whole, in one piece each. Rows may repeat,
+ids be null: each row counts as a training text of its own and gets its own row.
+Extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNKNOWN, chunks, crc_mod, gather, input_bytes, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
+from .common import UNKNOWN, chunks, crc_mod, discard, gather, input_bytes, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
 
 END, SYMBOLS, ORDER = 256, 257, 5
 
@@ -303,11 +305,10 @@ def tables_of(counts: DataFrame, max_grams: int = 1_000_000, order: int = ORDER)
         del made
 
 
-def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 1_000_000, text: str = "text") -> DataFrame:
-    """Adds ``score`` to ``docs`` (whose text column comes back as it was)."""
+def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 1_000_000) -> DataFrame:
+    """(key, score) of each key of ``docs`` (key, text); rows of one key have the same text. A table costs a look at all texts, and a number for each that is written."""
     spark = ready(docs.sparkSession)
-    out = docs.withColumn("score", F.lit(0.0))
-    names, at, made = out.columns, out.columns.index(text), 0
+    texts, parts = docs.select("key", "text"), []
     for tables in tables_of(counts, max_grams):
         shared = spark.sparkContext.broadcast(tables)
         del tables
@@ -316,14 +317,16 @@ def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 1_000_000,
         def run(batches, shared=shared):
             tables = shared.value
             for batch in batches:
-                parts = [tables.score(lower_ascii(d), o) for _, d, o in chunks(batch.column(at), 1 << 19)]
-                total = np.concatenate(parts) if parts else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(batch.column(len(names) - 1).to_numpy() + total)], names)
-
-        if made:  # one table, and one worker, at a time
-            out = materialize(out, "ppm-partial")
-        made += 1
-        out = out.mapInArrow(run, out.schema)
+                some = [tables.score(lower_ascii(d), o) for _, d, o in chunks(batch.column("text"), 1 << 19)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.concatenate(some) if some else np.zeros(0))], ["key", "score"])
+
+        parts.append(materialize(texts.mapInArrow(run, "key bigint, score double"), "ppm-partial"))  # one table, and one worker, at a time
+        shared.unpersist()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    out = materialize(every.groupBy("key").agg((F.sum("score") / (F.count("*") / F.lit(len(parts)))).alias("score")), "ppm-scores")
+    discard(*parts)
     return out
 
 
@@ -448,11 +451,14 @@ def lm_scores(docs: DataFrame, mod: int = 7, held: int = 2, max_grams: int = 1_0
     hot_counts[np.searchsorted(hot, words.column("key").to_numpy().astype(np.int64).view(np.uint64))] = words.column("count").to_numpy()
     parts = shuffle_partitions(rows, 1.5)
     sums = materialize(rare_sums(rare_words(rows, hot, hot_counts, parts), parts), "word-sums")
-    scored = materialize(model_scores(rows, counts, max_grams).select("doc_id", "key", "train", (F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) + 1).cast("bigint").alias("n_tokens"), "score"), "ppm-scores")
-    n, ends = scored.where("train").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    scores = model_scores(rows, counts, max_grams)
+    facts = materialize(rows.select("doc_id", "key", "train", (F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")) + 1).cast("bigint").alias("n_tokens")), "ppm-rows")
+    n, ends = facts.where("train").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     v = sums.where("key = 0").agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0] + int((hot_counts > 0).sum()) + (ends > 0)
-    copies = scored.groupBy("key").agg(F.count("*").alias("copies"))  # equal rows pool their sums
+    copies = facts.groupBy("key").agg(F.count("*").alias("copies"))  # equal rows pool their sums
     own = sums.where("key != 0").join(copies, "key").select("key", (F.col("total") / F.col("copies")).alias("total"), (F.col("known") / F.col("copies")).cast("bigint").alias("known"))
-    out = scored.join(own, "key", "left")
+    by_key = materialize(scores.join(own, "key", "left"), "ppm-keys")
+    discard(counts, sums, scores)
+    out = facts.join(by_key, "key", "left")
     base = F.coalesce("total", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * math.log10(n + v + 1)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), "score")
