@@ -4,8 +4,8 @@ Statistics are computed with numpy over whole texts, trees are grown on the
 driver from a bounded, documented sample of labelled rows, and scoring walks
 flattened tree arrays, all rows of a batch at once.
 
-Null and empty texts have statistics of 0 and get a score like any other row.
-Without labels of both kinds the score is constant. Labels that are null or
+Null and empty texts have statistics of 0 and get a score like any other row; an
+empty table gives an empty result, and texts of any length are read whole. Without labels of both kinds the score is constant. Labels that are null or
 neither 0 nor 1 are left out; of several labels of one id the smallest counts.
 Repeated documents get equal scores. Extra columns are ignored.
 """
@@ -95,7 +95,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ls, le, lf = word_spans(data, offsets, newline)
     if len(ls):
         lines, _ = groups(span_hash(data, ls, le), np.repeat(np.arange(rows), np.diff(lf)))
-        values["dup_lines"] = 1 - lines / np.maximum(np.diff(lf), 1)
+        values["dup_lines"] = np.where(np.diff(lf) > 0, 1 - lines / np.maximum(np.diff(lf), 1), 0)
     counts = np.bincount(np.repeat(np.arange(rows), np.diff(offsets)) * 32 + (data >> 3), minlength=rows * 32).reshape(rows, 32) / per_byte[:, None]
     values["entropy"] = -(counts * np.log2(np.maximum(counts, 1e-12))).sum(1)
     for k, name in enumerate(FEATURES):
