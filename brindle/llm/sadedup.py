@@ -20,8 +20,8 @@ finer, in blocks of 16, before they meet. Texts equal as a whole are one text
 that occurs twice (by length, 64-bit hash and SHA-256). Stretches are equal if both
 their key and their own hash agree (64 bits each). Null and shorter texts have no
 window and stay whole; an empty table gives an empty result. Ids may repeat or be
-null. Extra columns are ignored, whatever they are called. A text, however long,
-is cut whole, at some sixty bytes of memory a byte.
+null. Extra columns are ignored, whatever they are called. Long texts are looked
+at in parts of a megabyte, overlapping by a window.
 """
 
 from __future__ import annotations
@@ -260,6 +260,17 @@ def _span(sums, unstep, a, b):
     return mix64((sums[b] - sums[a]) * unstep[a])
 
 
+def _pieces(column: pa.Array, length: int, most: int = 1 << 20, long: int = 1 << 22):
+    """chunks(), but a text above ``long`` bytes comes in parts of ``most`` window starts, each with its place in the text."""
+    for a, data, offsets in chunks(column, most):
+        if len(data) <= long:
+            yield a, data, offsets, 0
+            continue
+        for begin in range(0, len(data) - length + 1, most):
+            part = data[begin : begin + most + length - 1]
+            yield a, part, np.array([0, len(part)]), begin
+
+
 def _by_text(text: np.ndarray, columns: dict[str, np.ndarray], kind: int, names: list[str]) -> pa.RecordBatch:
     """One row for each text: its hash and its entries of each column; columns of other kinds are null."""
     found, of = np.unique(text, return_inverse=True)
@@ -282,8 +293,9 @@ def candidates(docs: DataFrame, length: int) -> DataFrame:
             _, once = np.unique(hashes, return_index=True)  # equal texts of a batch are cut once
             batch = batch.take(pa.array(np.sort(once)))
             hashes = batch.column("text_hash").to_numpy()
-            for a, data, offsets in chunks(batch.column("text"), 1 << 20):
+            for a, data, offsets, begin in _pieces(batch.column("text"), length):
                 key, content, text, lo, windows, shift = stretches_of(data, offsets, length)
+                lo += begin
                 own, size = hashes[a + text], (windows | shift << 16).astype(np.int32)
                 # a stretch that a chunk has twice is covered wherever it is: one goes on to its key, and all to their texts
                 order = np.lexsort((content, key))
@@ -358,7 +370,9 @@ def compared(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                     first = np.maximum(0, shift[of] - (FINE * block + FINE - 1))
                     size = np.minimum(windows[of] - 1, shift[of] - FINE * block) - first + 1
                     core = lo[of] + shift[of] - FINE * block
-                    own = mix64(span_hash(data, core, core + length - FINE + 1) ^ mix64(key[of] ^ block.astype(np.uint64)))
+                    wide = np.full(len(core), length - FINE + 1)
+                    at = np.arange(len(core)) * (length - FINE + 1)
+                    own = mix64(span_hash(data[ranges(core, wide)], at, at + wide) ^ mix64(key[of] ^ block.astype(np.uint64)))
                     rest = np.flatnonzero((flags & 2) == 0)
                     lo, windows = np.concatenate([lo[rest], lo[of] + first]), np.concatenate([windows[rest], size])
                     key, flags = np.concatenate([key[rest], own]), np.concatenate([flags[rest], flags[of]])
@@ -422,13 +436,12 @@ def removed(docs: DataFrame, length: int = 400, text: str = "text", id: str = "d
             for i in range(batch.num_rows):
                 data = batch.column("text")[i].as_py().encode()
                 lo, size = (_entries(batch, i, c, "i8") for c in ("lo", "size"))
-                edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, lo, 1)
-                np.add.at(edge, lo + size, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-                out.append((int(gone.sum()), spans, kept))
+                order = np.argsort(lo, kind="stable")
+                lo, end = lo[order], np.maximum.accumulate((lo + size)[order])
+                head = np.flatnonzero(np.concatenate([[True], lo[1:] > end[:-1]]))  # of each run that is removed
+                begin, end = lo[head], end[np.append(head[1:], len(lo)) - 1]
+                kept = b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
+                out.append((int((end - begin).sum()), len(begin), kept))
             cols = list(zip(*out)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column("text_hash"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], ["text_hash", "n_removed", "n_spans", "kept"])
 

@@ -342,6 +342,26 @@ def test_suffix_dedup(docs, nothing, many, monkeypatch):
     assert sadedup.removed(nothing).count() == 0
 
 
+def test_suffix_dedup_of_long_texts_in_parts(spark, monkeypatch):
+    """Texts that come in parts, with repeats within one, across its parts, and between two."""
+    real = sadedup._pieces
+    monkeypatch.setattr(sadedup, "_pieces", lambda column, length: real(column, length, 700, 2000))
+    rng = random.Random(2)
+    body = "".join(rng.choice("abcdé ") for _ in range(5000))
+    texts = [(1, body), (2, body[1000:1800] + "x" * 900), (3, "y" + body[:300] + "z" + body[4000:]), (4, body[2500:3100]), (5, "q" * 2500)]
+    data = [t.encode() for _, t in texts]
+    seen = Counter(b[k : k + 400] for b in data for k in range(len(b) - 399))
+    want = {}
+    for (i, _), b in zip(texts, data):
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if seen[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        want[i] = (int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone]))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in sadedup.removed(df, 400).collect()} == want
+
+
 def test_token_counts(docs, nothing):
     from tokenizers import Tokenizer
 
