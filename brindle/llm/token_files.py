@@ -13,8 +13,9 @@ Every block, and every checkpoint in it, can be decoded by itself; the decoder
 reads a 2^max_bits table and walks thousands of checkpoints in step.
 
 Null texts count as empty and hold the end id only. Documents with a null id
-come first; repeated ids stay separate rows in a fixed order (by their ids).
-Extra columns are ignored, and an empty table makes an empty manifest.
+come first; repeated ids stay separate rows in a fixed order (by their tokens).
+Extra columns are ignored, whatever they are called, and an empty table makes an
+empty manifest. A text is tokenised whole, in memory one batch at a time.
 """
 
 from __future__ import annotations
@@ -348,7 +349,8 @@ def write_tokens(tokens: DataFrame, root: str | None = None, max_bits: int = 16,
     code = Code.of(got.column("token").to_numpy(), got.column("count").to_numpy(), max_bits)
     header = code.header()
     parts = partitions or shuffle_partitions(tokens, 1.0)
-    rows = tokens.repartitionByRange(parts, "id").sortWithinPartitions("id", "ids")
+    # rows of one id follow each other by their tokens, of which the first also part them among files
+    rows = tokens.repartitionByRange(parts, "id", F.substring("ids", 1, 64)).sortWithinPartitions("id", "ids")
 
     def run(batches):
         _drop_encoders()
