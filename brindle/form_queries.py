@@ -201,3 +201,28 @@ def state_report(spark, folder):
         inc.kept = inc.decide()
         rows += [(name, n, kind, i, kept, kb) for n, (kind, i, kept, kb) in enumerate(inc.explain_state())]
     return spark.createDataFrame(rows, "query string, nth int, operator string, input int, kept boolean, kb int")
+
+
+@query("SELECT 'orders' AS t, count(*) * 0.002 * 0.25 >= 1 AS some FROM orders UNION ALL SELECT 'lineitem', count(*) * 0.002 >= 1 FROM lineitem UNION ALL SELECT 'customer', count(*) * 0.002 >= 1 FROM customer")
+def delta_presence(spark, folder):
+    """Which tables a delta of 0.2 % brings a row of, by their rows and amplification."""
+    from brindle.plans.deltas import has_delta
+
+    rows = [(t, has_delta(table(spark, folder, t).count(), t, 0.002)) for t in ("orders", "lineitem", "customer")]
+    return spark.createDataFrame(rows, "t string, some boolean")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def events_once(spark, folder):
+    """One event of each kind for each user; on a stream, within the watermark."""
+    from brindle.streaming import first_of_each
+
+    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return first_of_each(e, ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("SELECT o_orderkey, nullif(o_custkey % 5, 2) AS k FROM orders ORDER BY k DESC NULLS FIRST, o_orderkey LIMIT 40")
+def default_null_order(spark, folder):
+    """Top rows in the default order of nulls: they count as larger than everything."""
+    o = table(spark, folder, "orders").select("o_orderkey", F.nullif(C("o_custkey") % 5, F.lit(2)).alias("k"))
+    return o.orderBy(ops.order("k", descending=True), ops.order("o_orderkey")).limit(40)
