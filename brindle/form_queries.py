@@ -38,18 +38,18 @@ def create_table_as_and_refresh(spark, folder):
 
 
 @query("SELECT n_nationkey, row_number() OVER () - 1 AS row_index FROM nation")
-def row_numbers_stored(spark, folder):
+def row_positions(spark, folder):
     return src.row_positions(spark, folder, "nation").select("n_nationkey", "row_index")
 
 
 @query("SELECT o_orderkey FROM orders WHERE CAST('0x' || md5('7:' || o_orderkey)[1:7] AS BIGINT) < 26843545")
-def sample_repeatable(spark, folder):
-    return src.bernoulli_text(table(spark, folder, "orders"), 10, "o_orderkey", seed=7).select("o_orderkey")
+def sample_bernoulli(spark, folder):
+    return src.bernoulli(table(spark, folder, "orders"), 10, "o_orderkey", seed=7).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5('3:' || o_orderkey), o_orderkey LIMIT 100")
-def sample_rows_repeatable(spark, folder):
-    return src.system_rows_text(table(spark, folder, "orders"), 100, "o_orderkey", seed=3).select("o_orderkey")
+def sample_system_rows(spark, folder):
+    return src.system_rows(table(spark, folder, "orders"), 100, "o_orderkey", seed=3).select("o_orderkey")
 
 
 @query("SELECT n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS region FROM nation")

@@ -259,21 +259,6 @@ def delete_where(spark, folder):
     return src.delete(table(spark, folder, "nation"), F.nullif("n_regionkey", F.lit(3)) > 2).select("n_nationkey")
 
 
-@query()
-def sample_bernoulli(spark, folder):
-    return src.bernoulli(table(spark, folder, "orders"), 10, "o_orderkey", seed=7).select("o_orderkey")
-
-
-@query()
-def sample_system_rows(spark, folder):
-    return src.system_rows(table(spark, folder, "orders"), 100, "o_orderkey").select("o_orderkey")
-
-
-@query()
-def row_positions(spark, folder):
-    return src.row_positions(spark, folder, "nation").select("n_nationkey", "row_index")
-
-
 # Event time
 
 
