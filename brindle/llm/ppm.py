@@ -461,4 +461,4 @@ def lm_scores(docs: DataFrame, mod: int = 7, held: int = 2, max_grams: int = 1_0
     discard(counts, sums, scores)
     out = facts.join(by_key, "key", "left")
     base = F.coalesce("total", F.lit(0.0)) + math.log10(ends + 1) - F.col("n_tokens") * math.log10(n + v + 1)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(n)).alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(n)).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")

@@ -75,7 +75,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sadedup import removed
 
     out = removed(table(spark, sf_dir, "documents"), 400)
-    return out.drop("kept").withColumn("kept_text", F.make_valid_utf8(out["kept"].cast("string")))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
