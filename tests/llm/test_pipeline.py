@@ -23,13 +23,18 @@ def _write(spark, folder, texts, items=ITEMS, labels=()):
     return f"file://{folder}"
 
 
-def _steps(spark, folder):
-    """The rows after each stage, written and read again."""
-    docs, out = spark.read.parquet(f"{folder}/documents.parquet"), []
-    for k, (_, step) in enumerate(corpus_pipeline.STAGES):
-        step(spark, docs, folder).write.parquet(f"{folder}/out{k}")
-        docs = spark.read.parquet(f"{folder}/out{k}")
-        out.append(docs)
+def _steps(spark, folder, monkeypatch):
+    """The rows after each stage of run(), written and read again."""
+    out, real = [], corpus_pipeline.materialize
+
+    def note(df, name):
+        made = real(df, name)
+        out.append(made) if len(out) < 5 and name in {n.split()[0].lower() for n, _ in corpus_pipeline.STAGES} else None
+        return made
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", note)
+    monkeypatch.setattr(corpus_pipeline, "discard", lambda *tables: None)
+    assert corpus_pipeline.run(spark, folder) is out[-1] and len(out) == 5
     return out
 
 
@@ -44,11 +49,11 @@ def _whole(df):
     return Counter(tuple(r) for r in df.collect())
 
 
-def test_stages(spark, tmp_path):
+def test_stages(spark, tmp_path, monkeypatch):
     texts = TEXTS + [(200 + k, " ".join(_words(90 + k, 70))) for k in range(6)] + [(300, None), (301, SHARED + " " + " ".join(_words(3, 60))), (302, "word " * 20)]
     folder = _write(spark, tmp_path, texts)
     start = _whole(spark.read.parquet(f"{folder}/documents.parquet"))
-    quality, unique, clean, mixed, files = _steps(spark, folder)
+    quality, unique, clean, mixed, files = _steps(spark, folder, monkeypatch)
     names = quality.columns
     assert names == unique.columns == clean.columns == mixed.columns == DOCS.replace(",", "").split()[::2]
 
@@ -97,7 +102,6 @@ def test_stages(spark, tmp_path):
         rows[r.doc_id, r.n_tokens, r.ids_crc32] += 1
     assert [r.doc_id for r in got] == [i for i, _ in ids]
     assert rows == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
-    assert _whole(corpus_pipeline.run(spark, folder)) == _whole(files)
 
 
 def _in_order(rows):

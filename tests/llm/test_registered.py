@@ -27,4 +27,4 @@ def test_columns_and_rows(spark, duck, name):
     if name in queries.ORACLE:
         same(df, duck.sql(queries.ORACLE[name]))
     else:
-        assert df.count() == duck.sql("SELECT count(*) FROM documents").fetchone()[0]
+        assert df.count() == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
