@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from brindle.plans import decide as choice
 from brindle.plans.tree import Aggregate, Join, Material, Node, Scan, Select, Sort
-from brindle.storage import Parts, Stored
+from brindle.storage import Parts, Stored, store_all
 
 
 class IncrementalQuery:
@@ -125,9 +125,12 @@ class IncrementalQuery:
 
     def start(self) -> DataFrame:
         self.kept = self.decide()
+        leaves = {(n, i): self._state(n, i) for n in self.root.walk() for i in n.keepable if (n, i) in self.kept and isinstance(n.children[i], Scan) and not isinstance(n, Aggregate)}
+        for k, v in store_all(leaves, lambda k: type(k[0]).__name__.lower()).items():
+            self.states[k] = Parts(v, v.name)
         for node in self.root.walk():
             for i in node.keepable:
-                if (node, i) in self.kept:
+                if (node, i) in self.kept and (node, i) not in self.states:
                     self._store(node, i, self._state(node, i))
         return self._whole(self.root)
 
@@ -182,7 +185,7 @@ class IncrementalQuery:
                 if d is None:
                     continue
                 moved[node, i] = node.partial(d) if isinstance(node, Aggregate) else d
-        stored = {k: Stored(v, type(k[0]).__name__.lower()) for k, v in moved.items()}  # all from the states of before
+        stored = store_all(moved, lambda k: type(k[0]).__name__.lower())  # all from the states of before
         for k, v in stored.items():
             self._spent += self.states[k].append(v, k[0].merge if isinstance(k[0], Aggregate) else None)
         for t, d in deltas.items():

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.plans.tree import Aggregate
-from brindle.storage import Parts, Stored
+from brindle.storage import Parts, Stored, store_all
 
 Edge = tuple[str, str, str, str]  # table, column, table, column
 
@@ -111,14 +111,14 @@ class LatticeQuery:
         return self.groups.finish(self.groups.merge(top.df) if len(top.parts) > 1 else top.df)
 
     def start(self) -> DataFrame:
-        self.preloaded = {t: Stored(self.tables[t], "fixed") for b in self.beside for t in self.beside[b]}
-        for s in self.sets:
-            base = min(s)
-            if len(s) == 1:
-                rows = self._with_fixed(base, self.tables[base])
-            else:
-                rows = self._grown(self.views[frozenset({base})].df, base, s)
-            self.views[s] = Parts(Stored(self._made(s, rows), "view"), "view")
+        self.preloaded = store_all({t: self.tables[t] for b in self.beside for t in self.beside[b]}, lambda _: "fixed")
+        for size in range(1, len(self.top) + 1):  # views of a size are made from smaller ones
+            made = {}
+            for s in (s for s in self.sets if len(s) == size):
+                base = min(s)
+                rows = self._with_fixed(base, self.tables[base]) if size == 1 else self._grown(self.views[frozenset({base})].df, base, s)
+                made[s] = self._made(s, rows)
+            self.views |= {s: Parts(x, "view") for s, x in store_all(made, lambda _: "view").items()}
         return self.answer()
 
     def refresh(self, deltas: dict[str, DataFrame | None]) -> DataFrame:
@@ -130,7 +130,8 @@ class LatticeQuery:
                 raise ValueError(f"{base} was said never to change")
             new = Stored(self._with_fixed(base, rows), "delta")
             own = [s for s in self.sets if base in s]
-            grown = {s: new if len(s) == 1 and s != self.top else Stored(self._made(s, self._grown(new.df, base, s)), "view") for s in own}
+            grown = store_all({s: self._made(s, self._grown(new.df, base, s)) for s in own if len(s) > 1 or s == self.top}, lambda _: "view")
+            grown |= {s: new for s in own if s not in grown}
             for s, d in grown.items():
                 self._spent += self.views[s].append(d, self.groups.merge if s == self.top else None)
             if new not in grown.values():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,7 @@ class Stored:
     """A DataFrame written to the shared folder; reading it needs no lineage, drop() deletes the files."""
 
     def __init__(self, df: DataFrame, name: str = "state") -> None:
-        self.spark = df.sparkSession
+        self.spark, self.name = df.sparkSession, name
         self.path = f"{shared_dir(self.spark)}/brindle/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.schema = df.schema
@@ -44,6 +45,14 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def store_all(frames: dict, name) -> dict:
+    """Stored forms of several DataFrames, written side by side; ``name(key)`` names each."""
+    if len(frames) < 2:
+        return {k: Stored(df, name(k)) for k, df in frames.items()}
+    with ThreadPoolExecutor(min(8, len(frames))) as pool:
+        return dict(zip(frames, pool.map(lambda k: Stored(frames[k], name(k)), frames)))
+
+
 class Parts:
     """A state that grows: files are only ever added; beyond ``most`` of them they are written into one again."""
 
