@@ -33,6 +33,27 @@ def test_views_of_the_lattices(name):
     assert LatticeQuery(dict.fromkeys(q.base), list(q.edges), None, fixed=set(q.base) - set(q.updates)).count() == VIEWS[name]
 
 
+def test_views_of_a_circle_do_not_grow_with_the_square(spark):
+    """c and s share one nation: expanded, {c, s} has 60 * 50 rows and {l, c, s} 200 * 60."""
+    from brindle.plans.lattice import LatticeQuery
+    from brindle.plans.tree import Aggregate, Scan
+
+    rows = {"l": [(k, k % 100, k % 50, k) for k in range(200)], "o": [(k, k % 60) for k in range(100)], "c": [(k, k % 7 and 1) for k in range(60)], "s": [(k, k % 5 and 1) for k in range(50)]}
+    kinds = {"l": "line int, l_o int, l_s int, v int", "o": "o int, o_c int", "c": "c int, c_n int", "s": "s int, s_n int"}
+    edges = [("l", "l_o", "o", "o"), ("o", "o_c", "c", "c"), ("l", "l_s", "s", "s"), ("c", "c_n", "s", "s_n")]
+    old, new = ({t: spark.createDataFrame([x for x in r if (x[0] % 4 == 0) == late], kinds[t]) for t, r in rows.items()} for late in (False, True))
+    lat = LatticeQuery(old, edges, Aggregate(Scan("l"), ("s_n",), {"t": ("sum", "v"), "n": ("count", "1")}, ("s_n", "t", "n")))
+    lat.start()
+    got = sorted(tuple(r) for r in lat.refresh(new).collect())
+    want = {}
+    for k, o, s, v in rows["l"]:
+        if (n := rows["s"][s][1]) == rows["c"][rows["o"][o][1]][1]:
+            want[n] = (want.get(n, (0, 0))[0] + v, want.get(n, (0, 0))[1] + 1)
+    assert got == sorted((n, *x) for n, x in want.items())
+    assert lat.count() == (13, 4, 0) and all(v.df.count() <= 200 for v in lat.views.values())
+    lat.finish()
+
+
 def test_a_refresh_only_adds_to_states(spark):
     from brindle.plans.incremental import IncrementalQuery
 
