@@ -72,3 +72,27 @@ def test_whole_division_beyond_doubles(spark):
     rows = [(9007199254740993, 1), (-9007199254740993, 2), (7, -2), (-7, 2), (5, 0)]
     got = [r[0] for r in spark.createDataFrame(rows, "a bigint, b bigint").select(num.div(F.col("a"), F.col("b"))).collect()]
     assert got == [9007199254740993, -4503599627370496, -3, -3, None]
+
+
+def test_word_similarity_is_the_best_run_and_makes_trigrams_once(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from brindle.functions import text as tx
+
+    def trigrams(s):
+        return [w[k : k + 3] for w in (f"  {x} " for x in s.split()) for k in range(len(w) - 2)]
+
+    def best(a, b):
+        mine, run = set(trigrams(a)), trigrams(b)
+        return max((len(mine & set(run[i:j])) / len(mine | set(run[i:j])) for i in range(len(run)) for j in range(i + 1, len(run) + 1)), default=0.0) if mine else 0.0
+
+    some = random.Random(5)
+    rows = [("".join(some.choices("ab é1", k=some.randrange(8))), "".join(some.choices("ab é1", k=some.randrange(16)))) for _ in range(150)]
+    rows += [("word", "two words"), ("", "a"), ("a", ""), ("a", "b")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", tx.word_similarity(F.col("a"), F.col("b")).alias("got"))
+    assert all(abs(r.got - best(r.a, r.b)) < 1e-9 for r in df.collect())
+    nulls = spark.createDataFrame([(None, "a"), ("a", None)], "a string, b string")
+    assert [r[0] for r in nulls.select(tx.word_similarity(F.col("a"), F.col("b"))).collect()] == [None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
