@@ -2,7 +2,7 @@
 
 Training documents are taken in shards of some megabytes. A shard's suffix
 array holds its word suffixes, sorted by prefix doubling as far as a window
-reaches (``pruned``: only those whose first ``q`` words occur in a row in the
+reaches or until a suffix differs from all others (``pruned``: only those whose first ``q`` words occur in a row in the
 benchmark; no other suffix can match one for as long). Every benchmark suffix is
 then found by binary search: the suffixes that share its window are one interval,
 each entry of which is a verbatim match with its location and, extended, its full
@@ -99,24 +99,26 @@ class Benchmark:
         ids = np.where(self.vocab[at] == h, at, -1)
         row = np.repeat(np.arange(rows), n_words)
         gram, inside = self._grams(ids, row)
-        place = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
-        test_symbols, every = self.symbols, self.grams
+        known = np.flatnonzero(inside)
+        known = known[self.grams[np.minimum(np.searchsorted(self.grams, gram[known]), len(self.grams) - 1)] == gram[known]]
         if self.pruned:
-            here = np.flatnonzero(inside & (self.grams[place] == gram))
-            if not len(here):
-                return nothing
+            here = known
         else:
-            inside &= self.grams[place] == gram
+            inside = np.zeros(len(ids), bool)
+            inside[known] = True
             gram, inside = self._all_grams(gram, inside, h, row)
             here = np.flatnonzero(inside)
-            every = np.unique(np.concatenate([self.grams, gram[here]]))
-            place = np.searchsorted(every, gram)
-            test_symbols = np.where(self.symbols > 0, np.searchsorted(every, self.grams[np.maximum(self.symbols, 1) - 1]) + 1, 0)
+        if not len(here):
+            return nothing
         depth = int(self.need.max())
         spread = np.arange(len(ids)) + row  # a place for a 0 behind every text
+        array, ordered, begins = self._sorted(gram[here], spread[here], len(ids) + rows + depth + 1, depth)
         symbols = np.zeros(len(ids) + rows + depth + 1, np.int64)
-        symbols[spread[here]] = place[here] + 1
-        array = self._sorted(symbols, spread[here], depth, len(every))
+        symbols[spread[here[ordered]]] = 2 * begins + 2  # even; an item's symbols that the shard lacks are odd
+        first_gram = gram[here[ordered]]
+        at = np.searchsorted(first_gram, self.grams)
+        lacks = first_gram[np.minimum(at, len(here) - 1)] != self.grams
+        test_symbols = np.where(self.symbols > 0, (2 * at + 2 - lacks)[np.maximum(self.symbols, 1) - 1], 0)
         low_at, high_at = (self._search(symbols, array, right, test_symbols) for right in (False, True))
         count = high_at - low_at
         found = np.flatnonzero(count)
@@ -143,19 +145,30 @@ class Benchmark:
         pairs = np.unique(row[pos] * (len(self.names) + 1) + self.item[test])
         return {"n_words": n_words, "n_hit": per_row(hit, first), "longest": longest, "pairs": np.divmod(pairs, len(self.names) + 1), "spans": _spans(hit, row, first)}
 
-    def _sorted(self, symbols: np.ndarray, here: np.ndarray, depth: int, kinds_of: int) -> np.ndarray:
-        """Suffix array: positions ``here`` by their next ``depth`` symbols (0 ends them), by prefix doubling."""
-        rank, step = symbols.copy(), 1
-        while True:
-            to = np.minimum(here + step, len(rank) - 1)
-            nxt = np.where(here + step < len(rank), rank[to], 0)
-            key = rank[here] * (len(here) + kinds_of + 2) + nxt
-            kinds, of = np.unique(key, return_inverse=True)
-            new = np.zeros(len(rank), np.int64)
-            new[here] = of + 1
-            rank, step = new, step * 2
-            if step >= depth or len(kinds) == len(here):
-                return here[np.argsort(rank[here], kind="stable")]
+    def _sorted(self, gram: np.ndarray, here: np.ndarray, size: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffix array: positions ``here`` by their next ``depth`` grams (0 ends them); the order by one gram, and for each of that order where its equals begin.
+
+        Prefix doubling; a suffix that differs from all others already is not sorted again.
+        """
+        ordered = np.argsort(gram)
+        by, array = gram[ordered], here[ordered]
+        new = np.ones(len(by) + 1, bool)  # where a group of equal suffixes begins; the end counts as one
+        np.not_equal(by[1:], by[:-1], out=new[1:-1])
+        heads = np.flatnonzero(new[:-1])
+        begins = np.repeat(heads, np.diff(heads, append=len(by)))
+        rank, step = np.zeros(size, np.int64), 1
+        rank[array] = begins + 1
+        while step < depth and len(open_ := np.flatnonzero(~(new[:-1] & new[1:]))):
+            at = array[open_]
+            key = rank[at] * (len(by) + 2) + rank[np.minimum(at + step, size - 1)]
+            to = np.argsort(key)
+            key, at = key[to], at[to]
+            array[open_] = at
+            new[open_[1:]] = key[1:] != key[:-1]
+            heads = np.flatnonzero(new[open_])
+            rank[at] = np.repeat(open_[heads], np.diff(heads, append=len(open_))) + 1
+            step *= 2
+        return array, ordered, begins
 
     def _search(self, symbols: np.ndarray, array: np.ndarray, right: bool, test_symbols: np.ndarray) -> np.ndarray:
         """Binary search of every test suffix's window in the suffix array, all in step: first entry not below (or above)."""

@@ -395,3 +395,43 @@ def test_other_tokenizer_settings_are_refused(tmp_path):
         (tmp_path / "t.json").write_text(json.dumps(spec | change))
         with pytest.raises(ValueError):
             token_counts.PrefixCounter(str(tmp_path / "t.json"))
+
+
+def _shard(texts, items, **options):
+    import pyarrow as pa
+
+    bench = decontaminate.Benchmark(items, 10, **options)
+    return bench, lambda: bench.shard(*decontaminate.utf8(pa.array(texts)))
+
+
+def test_suffixes_that_differ_are_sorted_once(monkeypatch):
+    """Only suffixes that still equal others are sorted again."""
+    n = 6000
+    _, run = _shard([" ".join(f"w{a}x{k}" for k in range(n // 3)) for a in range(3)], [("a", " ".join(f"w1x{k}" for k in range(40, 60)))])
+    sizes = []
+    for name in ("unique", "argsort"):
+        monkeypatch.setattr(decontaminate.np, name, lambda x, *a, f=getattr(np, name), **b: (sizes.append(len(x)), f(x, *a, **b))[1])
+    got = run()
+    assert got["n_hit"].tolist() == [0, 20, 0] and sum(sizes) < 1.5 * n
+
+
+def test_suffix_array_is_in_order():
+    """Against a plain sort, with copies and few words."""
+    some = np.random.default_rng(4)
+    texts = [" ".join(some.choice(["a", "b"], some.integers(1, 60))) for _ in range(40)] * 2
+    bench, run = _shard(texts, [("a", "a b " * 8)])
+    seen = []
+    sort = bench._sorted
+    bench._sorted = lambda gram, here, size, depth: seen.append((gram, here, size, depth, *sort(gram, here, size, depth))) or seen[-1][4:]
+    run()
+    gram, here, size, depth, array, ordered, begins = seen[0]
+    symbols = np.zeros(size + depth, np.int64)
+    symbols[here] = np.unique(gram, return_inverse=True)[1] + 1
+
+    def prefix(p):
+        out = symbols[p : p + depth].tolist()
+        return out[: out.index(0)] if 0 in out else out
+
+    assert sorted(array.tolist()) == sorted(here.tolist()) and len({tuple(prefix(p)) for p in here}) < len(here)
+    assert [prefix(p) for p in array] == sorted(prefix(p) for p in here)
+    assert (np.diff(gram[ordered].astype(object)) >= 0).all() and all(gram[ordered][b] == g for b, g in zip(begins, gram[ordered]))
