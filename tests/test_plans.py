@@ -54,6 +54,20 @@ def test_views_of_a_circle_do_not_grow_with_the_square(spark):
     lat.finish()
 
 
+def test_large_views_are_sorted_not_broadcast(spark, duck, monkeypatch):
+    from brindle.plans import lattice
+
+    q = tpch.QUERIES["q3"]
+    lat = lattice.LatticeQuery(q.tables(spark, DATA), list(q.edges), q.plan())
+    lat.start()
+    plan = lambda: lat._grown(lat.views[frozenset("o")], "o", frozenset("oc"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(lattice, "LARGE", 0)
+    assert "SortMergeJoin" in plan() and "Broadcast" not in plan()
+    lat.finish()
+    same(tpch.lattice(spark, DATA, "q3", size=0.2), duck.sql(q.sql))
+
+
 def test_a_refresh_only_adds_to_states(spark):
     from brindle.plans.incremental import IncrementalQuery
 
