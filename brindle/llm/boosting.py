@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, lower_ascii, materialize, mix64, per_row, ready, span_hash, word_spans
+from .common import chunks, crc_mod, lower_ascii, materialize, mix64, per_row, ready, span_hash, tidy, word_spans
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "sd_word", "upper", "digit", "punct", "symbol", "bang", "pipe", "high", "space", "lines_per_word",
@@ -176,6 +176,7 @@ def document_statistics(docs: DataFrame, text: str = "text", id: str = "doc_id")
     ready(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             parts = [statistics(d, o) for _, d, o in chunks(batch.column("text"))]
@@ -199,6 +200,7 @@ def score(stats: DataFrame, trees: Trees, id: str = "doc_id") -> DataFrame:
     """(id, score) of every row; the trees are some hundred kilobytes."""
     kind = stats.schema[id].dataType.simpleString()
 
+    @tidy
     def run(batches):
         for batch in batches:
             x = batch.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_class, chunks, lower_ascii, materialize, mix64, per_row, ranges, ready, span_hash, trim, utf8, word_spans
+from .common import byte_class, chunks, lower_ascii, materialize, mix64, per_row, ranges, ready, span_hash, tidy, trim, utf8, word_spans
 
 #: Words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text.
 WORDS = byte_class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
@@ -228,6 +228,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
             out = materialize(out, "benchmark-block")
         shared = spark.sparkContext.broadcast(bench)
 
+        @tidy
         def run(batches, shared=shared):
             trim()
             b = shared.value
@@ -242,7 +243,6 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
                     for d, x, y in zip(*(v.tolist() for v in m["spans"])):
                         spans[a + d].append({"from": x, "to": y})
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(words), pa.array(longest), pa.array(items, pa.list_(pa.string())), pa.array(spans, batch.schema.field("spans").type)], batch.schema.names)
-            trim()  # what comes next in this executor may be no Python
 
         out = out.mapInArrow(run, kind)
     merged = F.aggregate(F.sort_array("spans"), F.array().cast(kind["spans"].dataType), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["to"] >= x["from"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), F.greatest(F.element_at(acc, -1)["to"], x["to"]).alias("to"))))).otherwise(F.concat(acc, F.array(x))))
@@ -261,12 +261,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
             out = materialize(out, "benchmark-block")
         shared = spark.sparkContext.broadcast(bench)
 
+        @tidy
         def run(batches, shared=shared):
             trim()
             for batch in batches:
                 parts = [m["n_hit"] == 0 for _, _, m in _scan(batch.column(at), shared.value)]
                 yield batch.filter(pa.array(np.concatenate(parts))) if parts else batch
-            trim()
 
         out = out.mapInArrow(run, docs.schema)
     return out

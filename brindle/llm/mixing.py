@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, input_bytes, materialize, ready, shuffle_partitions, word_spans
+from .common import chunks, input_bytes, materialize, ready, shuffle_partitions, tidy, word_spans
 
 #: The weights of sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -120,6 +120,7 @@ def slots_of(goals: DataFrame, block_words: int, shard_slots: int = 8192, seed:
     goals = goals.withColumn("first", F.expr("slots * g div groups")).withColumn("count", F.expr("slots * (g + 1) div groups") - F.col("first")).where("count > 0")
     by_group = goals.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("source", "blocks", "key", "first", "count"))).alias("of"))  # an entry for each source
 
+    @tidy
     def deal(batches):
         for batch in batches:
             for g, of in zip(*(c.to_pylist() for c in batch.columns)):
@@ -136,6 +137,7 @@ def slots_of(goals: DataFrame, block_words: int, shard_slots: int = 8192, seed:
 
     dealt = by_group.mapInArrow(deal, "source string, blocks bigint, key bigint, shard bigint, first bigint, count bigint")
 
+    @tidy
     def place(batches):
         for batch in batches:
             names, shard = batch.column("source"), batch.column("shard").to_numpy()
@@ -192,6 +194,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     on = [F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), F.col("d.source").cast("string").eqNullSafe(F.col("s.source")), F.col("d.__text_hash") == F.col("s.text_hash")]
     joined = rows.alias("d").join(spans.alias("s"), on).select(*[F.col(f"d.`{c}`") for c in names], F.col("s.spans.from").alias("__from"), F.col("s.spans.to").alias("__to"), F.col("s.size").alias("__size"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             column = batch.column(names.index("text"))

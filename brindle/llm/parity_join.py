@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNKNOWN, chunks, discard, drop_rows, gather, input_bytes, lower_ascii, materialize, mix64, ranges, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
+from .common import UNKNOWN, chunks, discard, drop_rows, gather, input_bytes, lower_ascii, materialize, mix64, ranges, ready, scatter, scattered, shuffle_partitions, span_hash, tidy, word_spans
 
 WIDTH, SMALL, LEAST_BITS = 5, 12, 256
 #: Members of a key's group that are held at once when they are compared with one another.
@@ -192,6 +192,7 @@ def sets_of(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     """(id, n, node, row_key) of every row."""
     rows = _texts(docs, text, id).withColumn("row_key", F.xxhash64("id", "text"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             for a, data, offsets in chunks(batch.column("text"), 1 << 20):
@@ -224,6 +225,7 @@ def hot_keys(rows: DataFrame, sample_bytes: int = 16 << 20, least: int = 8) -> n
     size = input_bytes(rows)
     m = max(1, size // sample_bytes) if size < UNKNOWN else 1
 
+    @tidy
     def run(batches):
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text"), 1 << 20):
@@ -243,14 +245,15 @@ def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", ho
     def among(hot: np.ndarray, key: np.ndarray) -> np.ndarray:
         return hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), bool)
 
+    @tidy
     def keyed(batches):
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text"), 1 << 20):
                 key, node, n = _keyed(data, offsets)
                 dealt = np.where(among(shared.value, key), key ^ mix64(node.view(np.uint64)), key)
                 yield scatter((dealt % np.uint64(parts)).astype(np.int64), {"key": key, "node": node, "n": n})
-        trim()
 
+    @tidy
     def grouped(batches):
         g = gather(batches, {"key": "u8", "node": "i8", "n": "i4"})
         order = np.lexsort((g["node"], g["key"]))
@@ -278,8 +281,6 @@ def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", ho
             for i in range(0, len(a), 200_000):
                 j = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[j]), kind, np.int32)), pa.array(k[j]), pa.array(a[j]), pa.array(b[j])], ["kind", "key", "a", "b"])
-        del key, node, n, new, head, size, at, many, pairs, large, x
-        trim()
 
     return rows.select("text").mapInArrow(keyed, scattered(["key", "node", "n"])).repartition(parts, "bucket").mapInArrow(grouped, "kind int, key bigint, a bigint, b bigint")
 
@@ -295,6 +296,7 @@ def node_data(docs: DataFrame, first: DataFrame, wanted: DataFrame, whole: bool,
     texts = docs.select(F.xxhash64(F.col(id)).alias("h"), F.col(text).cast("string").alias("text"))
     texts = texts.join(F.broadcast(ids) if small else ids.hint("merge"), "h", "left_semi").select("text")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for _, data, offsets in chunks(batch.column("text"), 1 << 20):
@@ -321,6 +323,7 @@ def _joined(pairs: DataFrame, data: DataFrame) -> DataFrame:
 def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs whose sketches differ in no more bits than a link's sets may differ in shingles."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
@@ -334,6 +337,7 @@ def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sets are within the bound, compared in full."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             ok = []
@@ -373,6 +377,7 @@ def components(edges: DataFrame, one_task: int = 1 << 20) -> DataFrame:
     round written out.
     """
 
+    @tidy
     def local(batches):
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         node, root = stars(*(np.concatenate(v) for v in zip(*held))) if held else (np.zeros(0, np.int64),) * 2
@@ -446,6 +451,7 @@ def rest_pairs(groups: DataFrame, roots: DataFrame, sketches: DataFrame) -> Data
             yield np.minimum(i, j), np.maximum(i, j)
             x = to
 
+    @tidy
     def run(batches):
         """A key's rows come in order: for ``big``, its members first. They are held; the others pass by in blocks."""
         out: list[tuple[np.ndarray, np.ndarray]] = []

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNKNOWN, chunks, crc_mod, discard, gather, input_bytes, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, trim, word_spans
+from .common import UNKNOWN, chunks, crc_mod, discard, gather, input_bytes, lower_ascii, materialize, mix64, per_row, ready, scatter, scattered, shuffle_partitions, span_hash, tidy, trim, word_spans
 
 END, SYMBOLS, ORDER = 256, 257, 5
 
@@ -250,6 +250,7 @@ def gram_counts(train: DataFrame, hot: np.ndarray, text: str = "text") -> DataFr
     """(kind, key, count) over all training texts: kind 0 grams, kind 1 the hot words (hash as a signed number)."""
     shared = ready(train.sparkSession).sparkContext.broadcast(hot)
 
+    @tidy
     def run(batches):
         hot, held = shared.value, {0: ([], []), 1: ([], [])}
         for batch in batches:
@@ -314,6 +315,7 @@ def model_scores(docs: DataFrame, counts: DataFrame, max_grams: int = 1_000_000)
         del tables
         trim()
 
+        @tidy
         def run(batches, shared=shared):
             tables = shared.value
             for batch in batches:
@@ -335,6 +337,7 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER, text: str = "text", id:
     ready(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             scores = [Adaptive(order).score(lower_ascii(np.frombuffer((t or "").encode(), np.uint8)).tobytes(), True) for t in batch.column("text").to_pylist()]
@@ -352,6 +355,7 @@ def hot_words(docs: DataFrame, most: int = 50_000, text: str = "text", sample_by
     m = max(1, size // sample_bytes) if size < UNKNOWN else 1
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0)
 
+    @tidy
     def run(batches):
         held = ([], [])
         for batch in batches:
@@ -377,6 +381,7 @@ def rare_words(docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, parts:
     """
     shared = ready(docs.sparkSession).sparkContext.broadcast((hot, hot_counts))
 
+    @tidy
     def run(batches):
         hot, hot_counts = shared.value
         value = np.log10(hot_counts + 1.0)
@@ -413,6 +418,7 @@ def rare_sums(buckets: DataFrame, parts: int) -> DataFrame:
     A document has entries in many buckets of words; they travel to its own
     bucket packed, as many entries as there were, not a row for each.
     """
+    @tidy
     def count(batches):
         trim()
         g = gather(batches, {"h": "u8", "key": "i8", "n": "i4", "extra": "f8"})
@@ -431,6 +437,7 @@ def rare_sums(buckets: DataFrame, parts: int) -> DataFrame:
         del g, h, key, n, train, kinds, of, keys, docs, at, total, known
         trim()
 
+    @tidy
     def add(batches):
         g = gather(batches, {"key": "i8", "total": "f8", "known": "i8"})
         docs, at = np.unique(g["key"], return_inverse=True)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, per_row, ready, span_hash, utf8
+from .common import chunks, mix64, per_row, ready, span_hash, tidy, utf8
 
 #: The pre-tokenising pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -361,6 +361,7 @@ def token_counts(docs: DataFrame, vocab: str, limit: int = 512, text: str = "tex
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    @tidy
     def run(batches):
         c = counter(vocab)
         for batch in batches:

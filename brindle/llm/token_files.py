@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Sorted, chunks, lower_ascii, materialize, new_path, ranges, ready, shuffle_partitions, span_hash, trim
+from .common import Sorted, chunks, lower_ascii, materialize, new_path, ranges, ready, shuffle_partitions, span_hash, tidy, trim
 
 MAGIC = b"BRHF1\0\0\0"
 CHECKPOINT, BLOCK = 256, 1 << 16
@@ -190,6 +190,7 @@ def tokenize(docs: DataFrame, vocab: str, end_id: int = 2, text: str = "text", i
     ready(docs.sparkSession)
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
 
+    @tidy
     def run(batches):
         e = encoder(vocab)
         for batch in batches:
@@ -319,6 +320,7 @@ class Code:
 def token_counts_of(tokens: DataFrame, width: int = 4) -> DataFrame:
     """(token, count) over all documents, summed within each task first; as many rows as the vocabulary has entries."""
 
+    @tidy
     def run(batches):
         _drop_encoders()
         totals = np.zeros(0, np.int64)
@@ -352,6 +354,7 @@ def write_tokens(tokens: DataFrame, root: str | None = None, max_bits: int = 16,
     # rows of one id follow each other by their tokens, of which the first also part them among files
     rows = tokens.repartitionByRange(parts, "id", F.substring("ids", 1, 64)).sortWithinPartitions("id", "ids")
 
+    @tidy
     def run(batches):
         _drop_encoders()
         task = TaskContext.get()
@@ -451,6 +454,7 @@ def read_tokens(manifest: DataFrame, id_type: str = "bigint", with_ids: bool = F
     kinds = pa.int64() if id_type in ("bigint", "int", "smallint", "tinyint") else pa.string()
     names = ["id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
+    @tidy
     def run(batches):
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, new_path, ready
+from .common import discard, materialize, new_path, ready, tidy
 
 #: The skippable frame's magic number and the revisit profile of the WARC format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -95,6 +95,7 @@ def write_warc(pages: DataFrame, root: str | None = None, id: str = "page_id", u
     shared = spark.sparkContext.broadcast(_dictionary(records, dictionary_bytes).as_bytes() if records else b" " * 8)
     rows = rows.select("id", "url", "payload", "refers_to")
 
+    @tidy
     def run(batches):
         task = TaskContext.get()
         name, out, wrote, count = f"part-{task.partitionId():06d}.warc.zst", None, 0, 0
@@ -158,6 +159,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     spark: SparkSession = ready(manifest.sparkSession)
     names = ["id", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
 
+    @tidy
     def run(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
