@@ -216,6 +216,15 @@ def _keyed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key, node[row], sizes[row].astype(np.int32)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs (a, b), in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
 def hot_keys(rows: DataFrame, sample_bytes: int = 16 << 20, least: int = 8) -> np.ndarray:
     """Sorted join keys that ``least`` or more different sets of a sample of about ``sample_bytes`` have.
 
@@ -271,13 +280,13 @@ def candidate_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", ho
         for step in range(1, SMALL):  # all pairs of small groups
             x = np.flatnonzero((many > 1) & (many <= SMALL) & (np.arange(len(key)) + step < at + many))
             x = x[fits(x, x + step)]
-            pairs.append(np.stack([node[x], node[x + step]], 1))
+            pairs.append(distinct_pairs(node[x], node[x + step]))  # texts that share much meet under many keys
         x = np.flatnonzero((many > SMALL) & (np.arange(len(key)) > at))  # stars of the large ones
         x = x[fits(at[x], x)]
-        pairs.append(np.stack([node[at[x]], node[x]], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if sum(map(len, pairs)) else np.zeros((0, 2), np.int64)
+        pairs.append(distinct_pairs(node[at[x]], node[x]))
+        pairs = distinct_pairs(*(np.concatenate(v) for v in zip(*pairs)))
         large = np.flatnonzero(many > SMALL)
-        for kind, k, a, b in ((0, np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1]), (1, key[large].view(np.int64), node[large], n[large].astype(np.int64))):
+        for kind, k, a, b in ((0, np.zeros(len(pairs[0]), np.int64), *pairs), (1, key[large].view(np.int64), node[large], n[large].astype(np.int64))):
             for i in range(0, len(a), 200_000):
                 j = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[j]), kind, np.int32)), pa.array(k[j]), pa.array(a[j]), pa.array(b[j])], ["kind", "key", "a", "b"])
